@@ -35,3 +35,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), size=2048, end_id=0)
+
+
+@query
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unit_dedup import repeated_units
+
+    return repeated_units(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(read_table(spark, sf_dir, "documents"))
