@@ -169,6 +169,20 @@ class Words:
         return mix(h[order]), first[order], self.rows[first[order]]
 
 
+_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+
+
+def digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """128 bits, as two int64 columns, of the words from ``first`` to ``last`` (exclusive), in order."""
+    out = []
+    for base in _BASES:
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * powers(len(hashes), base), out=total[1:])
+        inverse = powers(len(hashes) + 1, pow(base, -1, 1 << 64))
+        out.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64))
+    return out
+
+
 def one_hash(words: list[str]) -> list[int]:
     """Hashes of single words, for tests and small tables."""
     return [int(x) for x in Words(pa.array(words, pa.string())).hashes]

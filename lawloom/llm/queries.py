@@ -49,3 +49,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_documents
+
+    return similar_documents(read_table(spark, sf_dir, "documents"))

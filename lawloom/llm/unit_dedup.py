@@ -16,21 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, mix, powers, slices, text_bytes, text_of
+from .common import Words, digests, materialise, slices, text_bytes, text_of
 
 UNITS = "high long, low long, doc_id long, start int, end int, n_words int"
-_BASES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
-
-
-def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Two polynomials over the words from ``first`` to ``last`` (exclusive)."""
-    out = []
-    for base in _BASES:
-        total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * powers(len(hashes), base), out=total[1:])
-        inverse = powers(len(hashes) + 1, pow(base, -1, 1 << 64))
-        out.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)).view(np.int64))
-    return out
 
 
 def _units(batches: Iterator[pa.RecordBatch], line_words: int, sentence_words: int) -> Iterator[pa.RecordBatch]:
@@ -65,7 +53,7 @@ def _units(batches: Iterator[pa.RecordBatch], line_words: int, sentence_words: i
         starts = starts + (raw[starts] == 32)
         ends = ends - (raw[ends - 1] == 10)
         rows = words.rows[first]
-        high, low = _digests(words.hashes, first, last)
+        high, low = digests(words.hashes, first, last)
         base = chars[offsets[rows]]
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(ids[rows]), pa.array((chars[starts] - base).astype(np.int32)), pa.array((chars[ends] - base).astype(np.int32)), pa.array((last - first).astype(np.int32))], names=["high", "low", "doc_id", "start", "end", "n_words"])
 
