@@ -44,15 +44,21 @@ def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return control, wide[np.arange(4) <= code[:, None]]
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks."""
-    lengths = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(lengths) - lengths
+def unpack(control: np.ndarray, data: np.ndarray, n: int, block: int = 1 << 18) -> np.ndarray:
+    """The ``n`` ranks, decoded ``block`` at a time (a multiple of four)."""
+    out = np.empty(n, np.uint32)
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    out = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(lengths > k)
-        out[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    here = 0
+    for a in range(0, n, block):
+        some = min(block, n - a)
+        lengths = LENGTHS[control[a // 4 : (a + some + 3) // 4]].reshape(-1)[:some].astype(np.int64)
+        at = np.cumsum(lengths) - lengths + here
+        got = padded[at].astype(np.uint32)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(lengths > k)
+            got[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[a : a + some] = got
+        here += int(lengths.sum())
     return out
 
 
@@ -170,7 +176,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, end_
     put(f"{folder}/ranks.bin", by_rank.astype("<u4").tobytes())
     parts = max(1, -(-int(count.sum()) // shard_tokens))
     dealt = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "blob")
-    shards = materialise(dealt.mapInArrow(partial(_write, folder=folder, rank=rank, limit=2 * shard_tokens), "shard string, first_doc long, n_docs long, n_tokens long"))
+    shards = materialise(dealt.mapInArrow(partial(_write, folder=folder, rank=rank, limit=shard_tokens), "shard string, first_doc long, n_docs long, n_tokens long"))
     before = Window.orderBy("first_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

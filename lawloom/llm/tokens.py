@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import cache
 
 import numpy as np
 
@@ -20,6 +22,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\\x00-\\x1b\\x20-\\x7e{_LETTERS}]*")
+
+
+def _plain(text: str) -> bool:
+    """Only characters of which Python's classes and the vocabularies' agree."""
+    if text.isascii():
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _PLAIN.fullmatch(text) is not None
+
+
 #: The word patterns of the two vocabularies, over those characters.
 _PATTERNS = {
     "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
@@ -39,18 +50,21 @@ class _Memo(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.names = model, _byte_names()
-        self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
-        self.starts: list[int] = []
+        self.tokenize, self.names = model.tokenize, _byte_names()
+        self.space = self.names[32]
+        self.ids = array("I")
+        self.starts = array("q", [0])
 
     def __missing__(self, word: str) -> int:
-        got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))]
-        while self.size + len(got) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.size : self.size + len(got)] = got
-        self.starts.append(self.size)
-        self.size += len(got)
-        self[word] = at = len(self.starts) - 1
+        if word.isascii() and word.isalnum():
+            name = word
+        elif word.isascii() and word[0] == " " and word[1:].isalnum():
+            name = self.space + word[1:]
+        else:
+            name = word.encode().decode("latin-1").translate(self.names)
+        self.ids.extend([t.id for t in self.tokenize(name)])
+        self.starts.append(len(self.ids))
+        self[word] = at = len(self.starts) - 2
         return at
 
 
@@ -58,7 +72,7 @@ class Encoder:
     """encode(texts) -> (ids end to end, ids of each text), as encode_batch(texts, add_special_tokens=False)."""
 
     #: Words kept by a worker before it starts anew: this bounds memory, not results.
-    KEEP = 300_000
+    KEEP = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,16 +90,16 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         odd: list[int] = []
         for i, text in enumerate(texts):
-            if _PLAIN.fullmatch(text) is None:
+            if not _plain(text):
                 odd.append(i)
                 continue
             had = len(words)
             words += self.pattern.findall(text.lower() if self.fold else text)
             counts[i] = len(words) - had
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        bounds = np.array([*self.memo.starts, self.memo.size], np.int64)
+        bounds = np.array(self.memo.starts)
         lengths = bounds[at + 1] - bounds[at]
-        ids = self.memo.ids[ragged(bounds[at], lengths)]
+        ids = np.array(self.memo.ids)[ragged(bounds[at], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         sizes = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
         if odd:
@@ -107,6 +121,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@cache
 def vocabulary(path: str) -> int:
     """Number of ids; bounds every table by id."""
     return max(encoder(path).whole.get_vocab(with_added_tokens=True).values()) + 1
