@@ -56,3 +56,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_documents
 
     return similar_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score_documents
+
+    documents = read_table(spark, sf_dir, "documents")
+    scored = score_documents(documents, fit(documents, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rejected")
