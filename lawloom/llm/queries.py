@@ -81,3 +81,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    embeddings = read_table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
