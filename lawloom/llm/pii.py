@@ -77,16 +77,16 @@ def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: f
     Counts are over all ``documents``; a pair also needs ``support`` different texts, as
     copies of one text are no evidence of a tie between a term and an entity.
     """
-    total = documents.select(F.count("*").alias("total"))
+    total = documents.count()
     held = carriers.select("text_key", F.explode("entities").alias("entity"))
     counted = held.groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
     by_text = carriers.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
     usual = by_text.select("copies", F.explode("entities").alias("entity"), _terms(F.col("text"), letters).alias("terms")).join(counted, "entity").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
     pairs = usual.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     words = documents.select(F.explode(_terms(F.col("text"), letters)).alias("term")).select(F.xxhash64("term").alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("n_t"))
-    joined = pairs.withColumn("term_hash", F.xxhash64("term")).join(words, "term_hash").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.col("total") / F.col("n_e"))
+    joined = pairs.withColumn("term_hash", F.xxhash64("term")).join(words, "term_hash")
+    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    content = F.log(F.lit(float(total)) / F.col("n_e"))
     share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
     return joined.withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
 

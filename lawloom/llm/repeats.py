@@ -131,7 +131,8 @@ def _neighbourhood(places: np.ndarray, begin: np.ndarray, end: np.ndarray, lengt
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Anchors by bucket of their gram; settled ones, which an earlier document of the block covers, apart."""
-    for ids, texts, _ in _blocks(batches, BLOCK_BYTES):
+    alone = (b.filter(b.column("copied").is_null()).select(["doc_id", "blob"]) for b in batches)
+    for ids, texts, _ in _blocks(alone, BLOCK_BYTES):
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         hashed = Hashed(np.frombuffer(b"".join(texts), np.uint8))
         at = anchors(hashed, offsets, length)
@@ -353,14 +354,17 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool =
     n, distinct, size = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if n != distinct:
         docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-    parts = max(1, -(-size // part_bytes))
+    # as many parts as a join would make at least, so that joins take the texts' partitioning as it is
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     buckets = max(1, -(-2 * size // ((length - GRAM + 2) * bucket_anchors)))
-    texts = docs.mapInArrow(_squeeze, "doc_id long, blob binary").repartition(parts, "doc_id")
+    # the filter, which joins would add to some uses, makes all uses one plan: the texts are dealt once
+    texts = docs.mapInArrow(_squeeze, "doc_id long, blob binary").where("doc_id IS NOT NULL").repartition(parts, "doc_id")
     copies = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("size"))
     firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     copied = copies.join(firsts, "digest").where((F.col("doc_id") != F.col("first")) & (F.col("size") >= length)).select("doc_id", F.lit(True).alias("copied"))
-    alone = texts.join(copied.hint("shuffle_hash"), "doc_id", "left_anti")
-    sent = alone.mapInArrow(partial(_send, length=length, buckets=buckets), "bucket int, settled boolean, docs binary, n int, body binary")
+    # an outer join: a semi join would move below the dealing, and the texts would be dealt twice
+    flagged = texts.join(copied.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "blob", "copied")
+    sent = flagged.mapInArrow(partial(_send, length=length, buckets=buckets), "bucket int, settled boolean, docs binary, n int, body binary")
     replies = sent.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(partial(_reply, buckets=buckets), "doc_id long, place int, group long")
     asked = replies.groupBy("doc_id").agg(F.collect_list(F.struct("place", "group")).alias("r")).select("doc_id", F.col("r.place").alias("places"), F.col("r.group").alias("groups"))
     opened = texts.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(partial(_open, length=length), "group long, doc_id long, start int, end int, left short, right short, around binary")
