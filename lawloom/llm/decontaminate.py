@@ -138,84 +138,99 @@ def _similarity(index: Index, shingles: np.ndarray, weights: np.ndarray, item: i
     return common / (float((w * own_counts).sum()) + total - common)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, radius: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _matches(texts: pa.Array, index: Index, radius: int, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """The best window of each (row, item): similarity, first byte, end."""
     longest = max(index.by_size, default=0)
+    words = Words(texts)
+    h, first, rows = words.shingles(SHINGLE)
+    maybe = np.flatnonzero(index.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(index.keys, h[maybe]), len(index.keys) - 1)
+    hit = maybe[index.keys[at] == h[maybe]]
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    if not len(hit):
+        return best
+    key_of = dict(zip(hit.tolist(), at[index.keys[at] == h[maybe]].tolist(), strict=True))
+    cuts = np.flatnonzero((np.diff(rows[hit]) != 0) | (np.diff(hit) > longest)) + 1
+    for group in np.split(hit, cuts):
+        row = int(rows[group[0]])
+        lo = max(int(np.searchsorted(rows, row)), int(group[0]) - longest)
+        hi = min(int(np.searchsorted(rows, row, "right")), int(group[-1]) + longest + 1)
+        here = h[lo:hi]
+        weight = np.ones(len(here))
+        for g in group.tolist():
+            weight[g - lo] = index.weights[key_of[g]]
+        known = np.zeros(len(here) + 1, np.int64)
+        known[group - lo + 1] = 1
+        known = np.cumsum(known)
+        row_words = int(words.bounds[row + 1] - words.bounds[row])
+        for size in np.unique(np.concatenate([index.sizes_of_key[key_of[g]] for g in group.tolist()])).tolist():
+            span = min(max(1, size - SHINGLE + 1), len(here))
+            starts = np.arange(len(here) - span + 1)
+            starts = starts[known[starts + span] > known[starts]]
+            prints = fingerprints(here, weight, starts, starts + span)
+            for w, i in _candidates(index, size, prints, radius):
+                a = int(starts[w])
+                item = index.by_size[size][0][i]
+                similarity = _similarity(index, here[a : a + span], weight[a : a + span], item)
+                if similarity >= threshold - 1e-9 and similarity > best.get((row, item), (0.0, 0, 0))[0] + 1e-12:
+                    a_word = int(first[lo + a])
+                    b_word = min(a_word + max(size, span + SHINGLE - 1 if row_words >= SHINGLE else row_words), int(words.bounds[row + 1]))
+                    best[row, item] = (similarity, int(words.starts[a_word]), int(words.ends[b_word - 1]))
+    return best
+
+
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, radius: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        texts = part.column("text")
-        words = Words(texts)
-        h, first, rows = words.shingles(SHINGLE)
-        maybe = np.flatnonzero(index.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(index.keys, h[maybe]), len(index.keys) - 1)
-        hit = maybe[index.keys[at] == h[maybe]]
-        if not len(hit):
-            continue
-        key_of = dict(zip(hit.tolist(), at[index.keys[at] == h[maybe]].tolist(), strict=True))
-        raw, offsets = text_bytes(texts)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        cuts = np.flatnonzero((np.diff(rows[hit]) != 0) | (np.diff(hit) > longest)) + 1
-        for group in np.split(hit, cuts):
-            row = int(rows[group[0]])
-            lo = max(int(np.searchsorted(rows, row)), int(group[0]) - longest)
-            hi = min(int(np.searchsorted(rows, row, "right")), int(group[-1]) + longest + 1)
-            here = h[lo:hi]
-            weight = np.ones(len(here))
-            for g in group.tolist():
-                weight[g - lo] = index.weights[key_of[g]]
-            known = np.zeros(len(here) + 1, np.int64)
-            known[group - lo + 1] = 1
-            known = np.cumsum(known)
-            row_words = int(words.bounds[row + 1] - words.bounds[row])
-            for size in np.unique(np.concatenate([index.sizes_of_key[key_of[g]] for g in group.tolist()])).tolist():
-                span = min(max(1, size - SHINGLE + 1), len(here))
-                starts = np.arange(len(here) - span + 1)
-                starts = starts[known[starts + span] > known[starts]]
-                prints = fingerprints(here, weight, starts, starts + span)
-                for w, i in _candidates(index, size, prints, radius):
-                    a = int(starts[w])
-                    item = index.by_size[size][0][i]
-                    similarity = _similarity(index, here[a : a + span], weight[a : a + span], item)
-                    if similarity >= threshold - 1e-9 and similarity > best.get((row, item), (0.0, 0, 0))[0] + 1e-12:
-                        a_word = int(first[lo + a])
-                        b_word = min(a_word + max(size, span + SHINGLE - 1 if row_words >= SHINGLE else row_words), int(words.bounds[row + 1]))
-                        best[row, item] = (similarity, int(words.starts[a_word]), int(words.ends[b_word - 1]))
+        best = _matches(part.column("text"), index, radius, threshold)
         if not best:
             continue
+        raw, offsets = text_bytes(part.column("text"))
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         ids = part.column("doc_id").to_pylist()
         out = [(ids[row], item, s, int(chars[a] - chars[offsets[row]]), int(chars[b] - chars[offsets[row]])) for (row, item), (s, a, b) in sorted(best.items())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "similarity", "start", "end"])
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20, part_items: int = 20_000) -> DataFrame:
-    """The best window of each (document, item) that are alike.
+def _keep(batches: Iterator[pa.RecordBatch], index: Index, radius: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        hit = {row for row, _ in _matches(part.column("text").fill_null(""), index, radius, threshold)}
+        yield part.filter(pa.array([i not in hit for i in range(part.num_rows)]))
 
-    ``documents`` (doc_id, text), ``benchmark`` (item_id, text). Returns doc_id, item_id,
-    similarity, start, end (code points of the window, end exclusive). A document shorter
-    than an item is one window. Items of fewer than five words are one shingle and match
-    whole documents of the same words. Null and empty texts match nothing; so do items
-    without item_id; repeated rows give repeated rows; repeated items count once each id.
-    ``part_items`` bounds the part of the benchmark that a task holds.
-    """
-    spark = documents.sparkSession
+
+def _indexes(benchmark: DataFrame, radius: int, part_items: int) -> Iterator[Index]:
+    """The benchmark, a bounded part at a time; counts by shingle are over all of it."""
     items = benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(text_of()).alias("text"))
     shingles = items.mapInArrow(_item_shingles, "item_id long, n_words int, place int, shingle long")
     df = shingles.groupBy("shingle").agg(F.countDistinct("item_id").alias("df"))
     bags = shingles.join(df, "shingle").groupBy("item_id", "n_words").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "df"))).alias("s"))
     bags = bags.select("item_id", "n_words", F.col("s.shingle").alias("shingles"), F.col("s.df").alias("dfs"))
-    docs = documents.select("doc_id", text_of().alias("text"))
     parts = max(1, -(-items.count() // part_items))
-    out = None
     for i in range(parts):
         rows = bags.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()  # about part_items items
-        if not rows:
-            continue
-        index = build_index([tuple(r) for r in rows], radius)
-        found = docs.mapInArrow(partial(_scan, index=index, radius=radius, threshold=threshold), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+        if rows:
+            yield build_index([tuple(r) for r in rows], radius)
 
 
-def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``documents`` without those that hold an item; all columns are kept, and rows without doc_id stay."""
-    hit = contaminated(documents, benchmark, **how).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+def contaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20, part_items: int = 20_000) -> DataFrame:
+    """The best window of each (document, item) that are alike.
+
+    ``documents`` (doc_id, text), ``benchmark`` (item_id, text). Returns doc_id, item_id,
+    similarity, start, end (code points of the window, end exclusive). A document shorter
+    than an item is one window. Items of fewer than five words are one shingle and match
+    whole documents of the same words. Null and empty texts match nothing; so do items
+    without item_id; repeated rows give repeated rows; repeated items count once each id.
+    ``part_items`` bounds the part of the benchmark that a task holds.
+    """
+    docs = documents.select("doc_id", text_of().alias("text"))
+    out = documents.sparkSession.createDataFrame([], FOUND)
+    for index in _indexes(benchmark, radius, part_items):
+        out = out.unionByName(docs.mapInArrow(partial(_scan, index=index, radius=radius, threshold=threshold), FOUND))
+    return out
+
+
+def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20, part_items: int = 20_000) -> DataFrame:
+    """``documents`` without those that hold an item; all columns are kept, and no row is shuffled."""
+    kept = documents
+    for index in _indexes(benchmark, radius, part_items):
+        kept = kept.mapInArrow(partial(_keep, index=index, radius=radius, threshold=threshold), documents.schema)
+    return kept

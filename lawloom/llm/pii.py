@@ -52,7 +52,7 @@ def _with_pieces(df: DataFrame, name: str, marked: Column) -> DataFrame:
     return df.withColumn(f"{name}_s", F.expr(sums))
 
 
-def find_base(documents: DataFrame, text: str = "text", to: str = "finds") -> DataFrame:
+def find_base(documents: DataFrame, text: str = "text", to: str = "__finds") -> DataFrame:
     """``documents`` with the column ``to``: array of (kind, start, end, value), by kind, then start."""
     columns = documents.columns
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, chr(2))
@@ -73,14 +73,14 @@ def _terms(text: Column, least: int) -> Column:
 def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: float = 0.8, support: int = 3, letters: int = 4) -> DataFrame:
     """(entity, term, share) of terms that disclose an entity; share is PMI / IC.
 
-    ``carriers``: text_key, text, entities (array<string>), one row a document with finds.
+    ``carriers``: __text_key, text, entities (array<string>), one row a document with finds.
     Counts are over all ``documents``; a pair also needs ``support`` different texts, as
     copies of one text are no evidence of a tie between a term and an entity.
     """
     total = documents.count()
-    held = carriers.select("text_key", F.explode("entities").alias("entity"))
-    counted = held.groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
-    by_text = carriers.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
+    held = carriers.select("__text_key", F.explode("entities").alias("entity"))
+    counted = held.groupBy("entity", "__text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
+    by_text = carriers.groupBy("__text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
     usual = by_text.select("copies", F.explode("entities").alias("entity"), _terms(F.col("text"), letters).alias("terms")).join(counted, "entity").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
     pairs = usual.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     words = documents.select(F.explode(_terms(F.col("text"), letters)).alias("term")).select(F.xxhash64("term").alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("n_t"))
@@ -92,27 +92,27 @@ def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: f
 
 
 def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[DataFrame, DataFrame]:
-    """(rows, term spans). Rows: the documents' columns, text_key and finds; term spans: doc_id, text_key, term_finds.
+    """(rows, term spans). Rows: the documents' columns, __text_key and __finds; term spans: doc_id, __text_key, term_finds.
 
     ``rows`` is a written table; its text column stays only with ``keep_text``.
     """
-    docs = documents.withColumn("text_key", F.md5(text_of()))
+    docs = documents.withColumn("__text_key", F.md5(text_of()))
     found = find_base(docs)
-    carrier_text = F.when(F.size("finds") > 0, text_of())
+    carrier_text = F.when(F.size("__finds") > 0, text_of())
     columns = [c for c in found.columns if keep_text or c != "text"]
     rows = materialise(found.select(*columns, carrier_text.alias("__carrier")))
-    entities = F.array_distinct(F.transform("finds", lambda f: F.lower(f["value"])))
-    carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "text_key", F.col("__carrier").alias("text"), entities.alias("entities"))
+    entities = F.array_distinct(F.transform("__finds", lambda f: F.lower(f["value"])))
+    carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "__text_key", F.col("__carrier").alias("text"), entities.alias("entities"))
     pairs = disclosing_terms(carriers, documents.select(text_of().alias("text")), **how)
-    flagged = carriers.select("doc_id", "text_key", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
-    texts = carriers.select("doc_id", "text_key", "text").dropDuplicates(["doc_id", "text_key"]).join(flagged, ["doc_id", "text_key"])
+    flagged = carriers.select("doc_id", "__text_key", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("doc_id", "__text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
+    texts = carriers.select("doc_id", "__text_key", "text").dropDuplicates(["doc_id", "__text_key"]).join(flagged, ["doc_id", "__text_key"])
     letters = how.get("letters", 4)
     marked = F.regexp_replace(F.translate("text", _MARK, chr(2)), rf"\p{{L}}{{{letters},}}", f"{_MARK}$0{_MARK}")
     texts = texts.withColumn("__plain", F.transform("terms", lambda t: t["term"])).withColumn("__gone", F.transform(F.filter("terms", lambda t: t["all"]), lambda t: t["term"]))
     texts = _with_pieces(texts, "__w", marked)
     spans = texts.withColumn("term_finds", _finds("term", "__w", "__w_n", "__w_s", "array_contains(__plain, lower(v))"))
     spans = spans.withColumn("term_finds", F.expr("transform(term_finds, f -> struct(IF(array_contains(__gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
-    return rows, spans.select("doc_id", "text_key", "term_finds")
+    return rows, spans.select("doc_id", "__text_key", "term_finds")
 
 
 def _joined(finds: str) -> Column:
@@ -127,9 +127,9 @@ def personal_data(documents: DataFrame, **how) -> DataFrame:
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
     """
     rows, terms = find_all(documents.select("doc_id", "text"), **how)
-    joined = rows.drop("__carrier").alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_key") == F.col("t.text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
-    counts = [F.expr(f"CAST(size(filter(finds, f -> f.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in KINDS]
-    return joined.select("doc_id", *counts, F.sha2(_joined("finds"), 256).alias("base_sha256"), _joined("concat(finds, term_finds)").alias("spans"), F.size("term_finds").cast("long").alias("n_term"))
+    joined = rows.drop("__carrier").alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.__text_key") == F.col("t.__text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
+    counts = [F.expr(f"CAST(size(filter(__finds, f -> f.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in KINDS]
+    return joined.select("doc_id", *counts, F.sha2(_joined("__finds"), 256).alias("base_sha256"), _joined("concat(__finds, term_finds)").alias("spans"), F.size("term_finds").cast("long").alias("n_term"))
 
 
 def sanitise(documents: DataFrame, **how) -> DataFrame:
@@ -142,9 +142,9 @@ def sanitise(documents: DataFrame, **how) -> DataFrame:
     rows, terms = find_all(documents, keep_text=True, **how)
     spans = rows.where("__carrier IS NOT NULL").drop("__carrier")
     plain = rows.where("__carrier IS NULL").select(*documents.columns)
-    joined = spans.alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_key") == F.col("t.text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
+    joined = spans.alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.__text_key") == F.col("t.__text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
     masked = F.expr("""
-        aggregate(array_sort(transform(concat(finds, term_finds), f -> struct(f.start AS start, f.end AS end, f.kind AS kind))), struct(0 AS at, '' AS kept),
+        aggregate(array_sort(transform(concat(__finds, term_finds), f -> struct(f.start AS start, f.end AS end, f.kind AS kind))), struct(0 AS at, '' AS kept),
                   (a, s) -> IF(s.start >= a.at,
                                struct(s.end AS at, concat(a.kept, substring(text, a.at + 1, s.start - a.at), IF(s.kind = 'term-removed', '', concat('[', s.kind, ']'))) AS kept),
                                struct(greatest(a.at, s.end) AS at, a.kept AS kept)),

@@ -89,3 +89,15 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     embeddings = read_table(spark, sf_dir, "embeddings")
     return nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a directory, and of its documents each hundred ids."""
+    from pyspark.sql import functions as F
+
+    from .licenses import scan_licenses
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    scanned = scan_licenses(read_table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return scanned.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
