@@ -169,7 +169,8 @@ def similar_documents(documents: DataFrame, *, threshold: float = 0.8, trees: in
     blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles), F.lit(1)).cast("int")
     sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
     members = materialise(members.join(sizes, "cluster").select(F.col("rep").alias("doc_id"), "high", "low", "size", "cluster", "blocks"))
-    sets = docs.join(members, "doc_id").select("doc_id", "text", "high", "low", "size", "cluster", "blocks").mapInArrow(_sets, "doc_id long, cluster long, blocks int, size long, shingles binary")
+    # dealt by doc_id at any size: members grow with the table, so no plan may count on sending them all about
+    sets = docs.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "high", "low", "size", "cluster", "blocks").mapInArrow(_sets, "doc_id long, cluster long, blocks int, size long, shingles binary")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "doc_id", "shingles", "size", "block")
@@ -187,4 +188,4 @@ def similar_documents(documents: DataFrame, *, threshold: float = 0.8, trees: in
 def keep_one(documents: DataFrame, **how) -> DataFrame:
     """``documents`` with the least doc_id of each class; rows without doc_id stay. All columns are kept."""
     later = similar_documents(documents, **how).where("class_id != doc_id").select("doc_id")
-    return documents.join(later, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(later.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
