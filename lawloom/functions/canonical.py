@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def _lower_hex(text: Column) -> Column:
-    """JSON with the digits of its control character escapes in lower case; escaped backslashes before them are left."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used; it also keeps generated code small."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fixed(text: Column) -> Column:
     out = text
     for digit in "ABCDEF":
         out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
     return F.when(text.rlike(r"\\u00[01][A-F]"), out).otherwise(text)
 
 
+def _lower_hex(text: Column) -> Column:
+    """JSON with the digits of its control character escapes in lower case; escaped backslashes before them are left."""
+    return bound(text, _fixed)
+
+
 def canonical_json(fields: Mapping[str, Column]) -> Column:
     """The object of the columns, keys in code point order, nulls kept: as compact as JSON can be."""
     return _lower_hex(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), _KEEP_NULLS))
@@ -26,8 +35,7 @@ def canonical_json(fields: Mapping[str, Column]) -> Column:
 
 def json_string(text: Column) -> Column:
     """A JSON string; null as null."""
-    whole = _lower_hex(F.to_json(F.array(text), _KEEP_NULLS))
-    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+    return bound(_lower_hex(F.to_json(F.array(text), _KEEP_NULLS)), lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2))
 
 
 def json_number(value: Column) -> Column:
@@ -54,9 +62,12 @@ def sha256(text: Column) -> Column:
 def uuid5(name: Column, namespace: str) -> Column:
     """The name-based (SHA-1) UUID of a text in ``namespace``."""
     space = F.unhex(F.lit(uuid.UUID(namespace).hex))
-    h = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+    def spelled(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+    return bound(F.sha1(F.concat(space, F.encode(name, "UTF-8"))), spelled)
 
 
 def hex_digest(value: Column) -> Column:

@@ -44,8 +44,8 @@ def law_id(jurisdiction: Column, authority: Column, number_key: Column, source_k
 
 
 def node_id(law: Column, locator: Column) -> Column:
-    """``law`` and ``locator`` in their canonical, ASCII form."""
-    payload = canonical_json({"law_id": normalized(law, ascii_only=True), "locator": normalized(locator, ascii_only=True)})
+    """``law`` as law_id() makes it, and an ASCII ``locator``."""
+    payload = canonical_json({"law_id": law, "locator": normalized(locator, ascii_only=True)})
     return F.concat(F.lit("node_"), uuid5(sha256(payload), ID_NAMESPACE))
 
 

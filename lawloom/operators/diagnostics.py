@@ -178,7 +178,10 @@ def diagnose(nodes: DataFrame, crosswalk: DataFrame | None = None, corpora: Data
     ``nodes``: schema.NODE; ``crosswalk``: schema.CROSSWALK; ``corpora``: (file) of corpora
     that must not be empty.
     """
-    nodes = nodes.withColumn("own_law", law_id(F.col("jurisdiction"), F.col("authority"), F.col("law_number_key"), F.col("source_law_key")))
+    from ..tables import materialise
+
+    # nine plans read the nodes: what they are made from, and their recomputed law, is computed once
+    nodes = materialise(nodes.withColumn("own_law", law_id(F.col("jurisdiction"), F.col("authority"), F.col("law_number_key"), F.col("source_law_key"))))
     fine = nodes.where("own_law IS NOT NULL")
     found = [row_checks(nodes), duplicate_versions(fine), duplicate_locators(fine), temporal_overlaps(fine), identity_drifts(fine), parent_checks(nodes, fine), root_counts(nodes), ancestry(nodes, fine)]
     if crosswalk is not None:
