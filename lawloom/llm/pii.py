@@ -102,15 +102,17 @@ def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[D
     columns = [c for c in found.columns if keep_text or c != "text"]
     rows = materialise(found.select(*columns, carrier_text.alias("__carrier")))
     entities = F.array_distinct(F.transform("__finds", lambda f: F.lower(f["value"])))
-    carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "__text_key", F.col("__carrier").alias("text"), entities.alias("entities"))
+    carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "__text_key", F.col("__carrier").alias("text"), entities.alias("entities"), "__finds")
     pairs = disclosing_terms(carriers, documents.select(text_of().alias("text")), **how)
     flagged = carriers.select("doc_id", "__text_key", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("doc_id", "__text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
-    texts = carriers.select("doc_id", "__text_key", "text").dropDuplicates(["doc_id", "__text_key"]).join(flagged, ["doc_id", "__text_key"])
+    texts = carriers.select("doc_id", "__text_key", "text", "__finds").dropDuplicates(["doc_id", "__text_key"]).join(flagged, ["doc_id", "__text_key"])
     letters = how.get("letters", 4)
     marked = F.regexp_replace(F.translate("text", _MARK, chr(2)), rf"\p{{L}}{{{letters},}}", f"{_MARK}$0{_MARK}")
     texts = texts.withColumn("__plain", F.transform("terms", lambda t: t["term"])).withColumn("__gone", F.transform(F.filter("terms", lambda t: t["all"]), lambda t: t["term"]))
     texts = _with_pieces(texts, "__w", marked)
     spans = texts.withColumn("term_finds", _finds("term", "__w", "__w_n", "__w_s", "array_contains(__plain, lower(v))"))
+    # the words of a protected value go with it
+    spans = spans.withColumn("term_finds", F.expr("filter(term_finds, f -> NOT exists(__finds, b -> b.start < f.end AND f.start < b.end))")).where("size(term_finds) > 0")
     spans = spans.withColumn("term_finds", F.expr("transform(term_finds, f -> struct(IF(array_contains(__gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
     return rows, spans.select("doc_id", "__text_key", "term_finds")
 
