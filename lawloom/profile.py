@@ -24,6 +24,11 @@ class Profile:
     converter: dict = field(default_factory=lambda: {"name": "lawloom", "version": "0.1", "profile": "lawloom/0.1"})
     bundle_schema: str = "lawloom-bundle/v1"
     bundle_schema_rights: str = "lawloom-bundle/v2"
+    bundle_ledger: str = "lawloom-source-references/v1"
+    bundle_extension: str = "lawloom"
+    bundle_heading: str = "Lawloom legal knowledge bundle"
+    bundle_corpus_title: str = "Canonical corpus"
+    bundle_exporter: str = "lawloom-exporter/0.1"
 
     @classmethod
     def from_json(cls, path: str) -> Profile:
