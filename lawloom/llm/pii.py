@@ -112,7 +112,7 @@ def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[D
     texts = _with_pieces(texts, "__w", marked)
     spans = texts.withColumn("term_finds", _finds("term", "__w", "__w_n", "__w_s", "array_contains(__plain, lower(v))"))
     # the words of a protected value go with it
-    spans = spans.withColumn("term_finds", F.expr("filter(term_finds, f -> NOT exists(__finds, b -> b.start < f.end AND f.start < b.end))")).where("size(term_finds) > 0")
+    spans = spans.withColumn("term_finds", F.expr("filter(term_finds, f -> NOT exists(__finds, b -> b.start < f.end AND f.start < b.end))"))
     spans = spans.withColumn("term_finds", F.expr("transform(term_finds, f -> struct(IF(array_contains(__gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
     return rows, spans.select("doc_id", "__text_key", "term_finds")
 
