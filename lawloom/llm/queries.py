@@ -101,3 +101,32 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
     scanned = scan_licenses(read_table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
     return scanned.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
+#: Runs of what parts words, for DuckDB.
+_GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({text}), '{_GAP}', ' ', 'g'), ' '), lambda x: x != '')"
+
+
+ORACLES["op2_jaccard_join"] = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a),
+same AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS copy_of, CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w) END AS n_copies FROM w)
+SELECT doc_id, (SELECT min(y) FROM reach WHERE x = doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links, copy_of, n_copies FROM same"""
+
+ORACLES["op5_unit_dedup"] = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text != ''),
+lo AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS s0, len({_words("line")}) AS line_words FROM l),
+s AS (SELECT doc_id, k, s0, line_words, unnest(string_split(regexp_replace(line, '([.!?]) ', concat('\\1', chr(1)), 'g'), chr(1))) AS u, unnest(range(1, len(string_split(regexp_replace(line, '([.!?]) ', concat('\\1', chr(1)), 'g'), chr(1))) + 1)) AS j FROM lo),
+so AS (SELECT *, s0 + sum(length(u) + 1) OVER (PARTITION BY doc_id, k ORDER BY j) - length(u) - 1 AS a, len({_words("u")}) AS n FROM s),
+units AS (SELECT doc_id, line AS u, s0 + CASE WHEN line[1:1] = ' ' THEN 1 ELSE 0 END AS a, s0 + length(line) AS b, line_words AS n FROM lo WHERE line_words >= 5
+UNION ALL SELECT doc_id, u, a + CASE WHEN j = 1 AND u[1:1] = ' ' THEN 1 ELSE 0 END, a + length(u), n FROM so WHERE n >= 8 AND n != line_words),
+d AS (SELECT doc_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS INTEGER) AS n, array_to_string({_words("u")}, ' ') AS key FROM units),
+f AS (SELECT *, min({{'doc': doc_id, 'at': a}}) OVER (PARTITION BY key) AS first FROM d)
+SELECT doc_id, a AS start, b AS "end", n AS n_words, first.doc AS first_doc_id, first.at AS first_start FROM f WHERE doc_id != first.doc OR a != first.at"""
