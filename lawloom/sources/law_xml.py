@@ -183,7 +183,7 @@ def adapt_laws(files: DataFrame, law_ids: DataFrame | str | None = None, profile
     nodes = law_nodes(records, profile)
     above = parent_locator(F.col("locator"))
     own_law = law_id(F.col("jurisdiction"), F.col("authority"), F.col("law_number_key"), F.col("source_law_key"))
-    nodes = nodes.withColumn("parent_id", F.when(above.isNotNull(), node_id(own_law, above)))
+    nodes = materialise(nodes.withColumn("parent_id", F.when(above.isNotNull(), node_id(own_law, above))))
     accepted = reports.where("accepted")
     inputs = accepted.select("file", F.lit("source").alias("role"), content_uri(F.col("source_sha256"), profile.content_uri_prefix).alias("uri"), F.col("source_sha256").alias("sha256"))
     failures = reports.where("NOT accepted").select("file", F.col("diagnostics")[0].alias("diagnostic"))
