@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker takes at once; its arrays are a few times that.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch between the JVM and a Python worker, where the session leaves it at Spark's 64 MB.
+BATCH_BYTES = "8m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; both sides of a Python worker's pipe then hold small batches of its texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864", "67108864b", "64m"):
+        spark.conf.set(key, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
