@@ -31,7 +31,7 @@ from .common import mix, powers, ragged, slices
 GRAM = 20
 BASE = 0x100000001B3
 #: Bytes of text that settle their repeats together before anything is sent.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _PLACE_BITS = 26
 
 
