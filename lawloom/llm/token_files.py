@@ -40,8 +40,14 @@ def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(-(-n // 4) * 4, np.uint8)
     padded[:n] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control, wide[np.arange(4) <= code[:, None]]
+    lengths = code.astype(np.int64) + 1
+    at = np.cumsum(lengths) - lengths
+    data = np.empty(int(lengths.sum()), np.uint8)
+    data[at] = ranks
+    for k in (1, 2, 3):
+        more = np.flatnonzero(code >= k)
+        data[at[more] + k] = ranks[more] >> np.uint32(8 * k)
+    return control, data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int, block: int = 1 << 18) -> np.ndarray:
@@ -106,8 +112,9 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(size, np.int64)
     for batch in batches:
-        for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-            total += np.bincount(_ids(blob, n), minlength=size)
+        held = [_ids(blob, n) for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)]
+        for a in range(0, len(held), 500):
+            total += np.bincount(np.concatenate(held[a : a + 500]), minlength=size)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
