@@ -97,9 +97,10 @@ class Encoder:
             words += self.pattern.findall(text.lower() if self.fold else text)
             counts[i] = len(words) - had
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        bounds = np.array(self.memo.starts)
+        bounds = np.frombuffer(self.memo.starts, np.int64)  # a view: it must be gone before the memo grows
         lengths = bounds[at + 1] - bounds[at]
-        ids = np.array(self.memo.ids)[ragged(bounds[at], lengths)]
+        ids = np.frombuffer(self.memo.ids, np.uint32)[ragged(bounds[at], lengths)]
+        del bounds
         ends = np.concatenate([[0], np.cumsum(lengths)])
         sizes = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
         if odd:
