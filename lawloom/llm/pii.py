@@ -70,28 +70,55 @@ def _terms(text: Column, least: int) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= least)
 
 
-def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: float = 0.8, support: int = 3, letters: int = 4) -> DataFrame:
-    """(entity, term, share) of terms that disclose an entity; share is PMI / IC.
+#: A term in more than one of this many documents has its count broadcast: there are at most as many
+#: of them as documents have distinct terms on average, times this.
+_COMMON = 1000
 
-    ``carriers``: __text_key, text, entities (array<string>), one row a document with finds.
-    Counts are over all ``documents``; a pair also needs ``support`` different texts, as
-    copies of one text are no evidence of a tie between a term and an entity.
+
+def _ties(carriers: DataFrame, documents: DataFrame, disclosure: float, support: int, letters: int, total: int) -> DataFrame:
+    """(__text_key, copies, entity, n_e, term, n_t) of each text's entities and terms that may disclose them.
+
+    As n_te <= n_e, PMI reaches the share of IC only where n_t <= n_e (N / n_e)^(1 - share);
+    other terms are left before they meet the entities.
     """
-    total = documents.count()
     held = carriers.select("__text_key", F.explode("entities").alias("entity"))
     counted = held.groupBy("entity", "__text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
     by_text = carriers.groupBy("__text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
-    usual = by_text.select("copies", F.explode("entities").alias("entity"), _terms(F.col("text"), letters).alias("terms")).join(counted, "entity").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
-    pairs = usual.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    entities = by_text.select("__text_key", F.explode("entities").alias("entity")).join(counted, "entity")
+    limits = entities.groupBy("__text_key").agg(F.max("n_e").alias("most"))
+    terms = by_text.join(limits, "__text_key").select("__text_key", "copies", "most", F.explode(_terms(F.col("text"), letters)).alias("term")).withColumn("term_hash", F.xxhash64("term"))
     words = documents.select(F.explode(_terms(F.col("text"), letters)).alias("term")).select(F.xxhash64("term").alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("n_t"))
-    joined = pairs.withColumn("term_hash", F.xxhash64("term")).join(words, "term_hash")
+    common = F.broadcast(words.where(F.col("n_t") > total / _COMMON))
+    rare = terms.join(common, "term_hash", "left_anti").join(words, "term_hash")
+
+    def within(n: str) -> Column:
+        return F.col("n_t") <= F.pow(F.col(n), F.lit(disclosure)) * float(total) ** (1 - disclosure) * (1 + 1e-9)
+
+    near = rare.unionByName(terms.join(common, "term_hash")).where(within("most")).select("__text_key", "copies", "term", "n_t")
+    return near.join(entities, "__text_key").where(within("n_e")).select("__text_key", "copies", "entity", "n_e", "term", "n_t")
+
+
+def _disclosing(ties: DataFrame, disclosure: float, support: int, total: int) -> DataFrame:
+    pairs = ties.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(total)) / F.col("n_e"))
     share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return joined.withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
+    return pairs.withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
-def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: float = 0.8, support: int = 3, letters: int = 4) -> DataFrame:
+    """(entity, term, share) of terms that disclose an entity; share is PMI / IC.
+
+    ``carriers``: __text_key, text, entities (array<string>), one row a document with finds.
+    Counts are over all ``documents``. ``support`` is the different texts that an entity and
+    a pair need, ``letters`` the least of a term: with 1 and 1, as ``personal_data`` and
+    ``sanitise`` have them, no entity and no term is left out.
+    """
+    total = documents.count()
+    return _disclosing(_ties(carriers, documents, disclosure, support, letters, total), disclosure, support, total)
+
+
+def find_all(documents: DataFrame, *, keep_text: bool = False, disclosure: float = 0.8, support: int = 1, letters: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows, term spans). Rows: the documents' columns, __text_key and __finds; term spans: doc_id, __text_key, term_finds.
 
     ``rows`` is a written table; its text column stays only with ``keep_text``.
@@ -103,10 +130,11 @@ def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[D
     rows = materialise(found.select(*columns, carrier_text.alias("__carrier")))
     entities = F.array_distinct(F.transform("__finds", lambda f: F.lower(f["value"])))
     carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "__text_key", F.col("__carrier").alias("text"), entities.alias("entities"), "__finds")
-    pairs = disclosing_terms(carriers, documents.select(text_of().alias("text")), **how)
-    flagged = carriers.select("doc_id", "__text_key", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("doc_id", "__text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
-    texts = carriers.select("doc_id", "__text_key", "text", "__finds").dropDuplicates(["doc_id", "__text_key"]).join(flagged, ["doc_id", "__text_key"])
-    letters = how.get("letters", 4)
+    total = documents.count()
+    ties = materialise(_ties(carriers, documents.select(text_of().alias("text")), disclosure, support, letters, total))
+    # a text meets only the terms that it has itself
+    flagged = ties.join(_disclosing(ties, disclosure, support, total), ["entity", "term"]).groupBy("__text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
+    texts = carriers.select("__text_key", "text", "__finds").dropDuplicates(["__text_key"]).join(flagged, "__text_key")
     marked = F.regexp_replace(F.translate("text", _MARK, chr(2)), rf"\p{{L}}{{{letters},}}", f"{_MARK}$0{_MARK}")
     texts = texts.withColumn("__plain", F.transform("terms", lambda t: t["term"])).withColumn("__gone", F.transform(F.filter("terms", lambda t: t["all"]), lambda t: t["term"]))
     texts = _with_pieces(texts, "__w", marked)
@@ -114,7 +142,7 @@ def find_all(documents: DataFrame, *, keep_text: bool = False, **how) -> tuple[D
     # the words of a protected value go with it
     spans = spans.withColumn("term_finds", F.expr("filter(term_finds, f -> NOT exists(__finds, b -> b.start < f.end AND f.start < b.end))"))
     spans = spans.withColumn("term_finds", F.expr("transform(term_finds, f -> struct(IF(array_contains(__gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
-    return rows, spans.select("doc_id", "__text_key", "term_finds")
+    return rows, carriers.select("doc_id", "__text_key").distinct().join(spans.select("__text_key", "term_finds"), "__text_key")
 
 
 def _joined(finds: str) -> Column:

@@ -180,6 +180,23 @@ def test_disclosing_terms(spark):
     assert sanitise(df.withColumn("finds", F.lit(1))).columns == ["doc_id", "text", "finds"] and len(clean) == len(docs)
 
 
+def test_terms_of_rare_entities(spark):
+    docs = ["Mr Oz Quixotebury of the mill, solo@corp.example", "the twin Zanzibarton Ida Wu: +1 212 555 0100", "the twin Wu again +1 212 555 0100, solo2@corp.example", "Again Plainly the twin"] + [f"the weather of the mill {'again' if i % 2 else 'wu'}" for i in range(60)]
+    docs += [docs[0]] * 2
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = brute_terms(docs, support=1, letters=1)
+    assert ("solo@corp.example", "oz") in want and ("+1 212 555 0100", "zanzibarton") in want and ("solo@corp.example", "the") not in want
+    got = {r.doc_id: r for r in personal_data(df).collect()}
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    for i, d in enumerate(docs):
+        inside = [(a, b) for _, a, b in base(d)]
+        terms = {t for e, t in want if e in {d[a:b].lower() for a, b in inside}}
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", d) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in inside)]
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")] == spans and got[i].n_term == len(spans)
+    assert got[0].n_term and got[0].n_term == got[64].n_term and got[1].n_term and clean[3] == docs[3]
+    assert clean[0] == clean[65] and "Quixotebury" not in clean[0] and "Oz" not in clean[0] and "mill" in clean[0] and "Zanzibarton" not in clean[1]
+
+
 def test_sanitise_odd_texts(spark):
     texts = odd_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
