@@ -49,12 +49,24 @@ class Hashed:
 
 
 def anchors(hashed: Hashed, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Places of the least gram of every window that lies in one document, ascending."""
-    n, span = len(hashed.raw), length - GRAM + 1
+    """Places of the least gram of every window that lies in one document, ascending.
+
+    Bytes beyond what a place's bits number are taken in pieces, which overlap by a window less one byte.
+    """
+    n, size = len(hashed.raw), 1 << _PLACE_BITS
     if n < length:
         return np.zeros(0, np.int64)
-    at = np.arange(n - GRAM + 1)
-    least = (hashed.of(at, at + GRAM) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | at.astype(np.uint64)
+    if size < length:
+        raise ValueError(f"windows of {length} bytes exceed the places of a piece")
+    pieces = [_anchors(hashed, offsets, length, begin, min(n, begin + size)) for begin in range(0, n - length + 1, size - length + 1)]
+    return np.unique(np.concatenate(pieces)) if len(pieces) > 1 else pieces[0]
+
+
+def _anchors(hashed: Hashed, offsets: np.ndarray, length: int, begin: int, end: int) -> np.ndarray:
+    """The anchors of the windows from ``begin`` to ``end``."""
+    span = length - GRAM + 1
+    at = np.arange(begin, end - GRAM + 1)
+    least = (hashed.of(at, at + GRAM) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | (at - begin).astype(np.uint64)
     width = 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -64,9 +76,9 @@ def anchors(hashed: Hashed, offsets: np.ndarray, length: int) -> np.ndarray:
     inside = np.zeros(len(least) + 1, np.int32)
     sizes = np.diff(offsets)
     long = sizes >= length
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, np.minimum(offsets[1:][long] - length + 1, len(least)), -1)
-    picked = (least[np.cumsum(inside[:-1]) > 0] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    np.add.at(inside, np.clip(offsets[:-1][long] - begin, 0, len(least)), 1)
+    np.add.at(inside, np.clip(offsets[1:][long] - length + 1 - begin, 0, len(least)), -1)
+    picked = (least[np.cumsum(inside[:-1]) > 0] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + begin
     return np.unique(picked[np.concatenate([[True], picked[1:] != picked[:-1]])]) if len(picked) else picked
 
 

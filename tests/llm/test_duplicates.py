@@ -171,6 +171,19 @@ def test_radix_groups_are_the_equal_rows():
     assert len({(f, k) for f, k in zip(found.tolist(), keys, strict=True) if f >= 0}) == len({f for f in found.tolist() if f >= 0}) == len([k for k in counts if counts[k] > 1])
 
 
+def test_anchors_beyond_the_bits_of_a_place(monkeypatch):
+    from lawloom.llm import repeats
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 99 + i % 20, n).astype(np.uint8) for i, n in enumerate([40, 3000, 50, 49, 700, 0, 128, 1])]
+    offsets, hashed = np.concatenate([[0], np.cumsum([len(t) for t in texts])]), Hashed(np.concatenate(texts))
+    least = lambda w, bits: min(range(w, w + 31), key=lambda g: (int(hashed.of(np.array([g]), np.array([g + 20]))[0]) >> bits, g))
+    for bits in (6, 7, 10):
+        monkeypatch.setattr(repeats, "_PLACE_BITS", bits)
+        want = {least(w, bits) for a, b in zip(offsets[:-1], offsets[1:], strict=True) for w in range(a, b - 49)}
+        assert anchors(hashed, offsets, 50).tolist() == sorted(want)
+
+
 def test_units(spark):
     line, sentence = "This line is said in many documents", "And this is a sentence of nine words here."
     docs = [f"Own words of first.\n{line}\n{sentence} Rest one of the first.", f"{line.upper()}!\nOther é words 😀. {sentence}", "too short\nline", "too short\nline", None, ""]
