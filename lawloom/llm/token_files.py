@@ -1,7 +1,8 @@
 """Token ids as files: frequency-ranked ids, one to four bytes each, control bytes apart.
 
 A folder holds ``ranks.bin`` (the id of each rank, little-endian uint32, most
-frequent first, ties to the smaller id) and shards ``<first>-<last>.ids``. A shard:
+frequent first, ties to the smaller id) and shards ``<task>-<number>-<first>-<last>.ids``, in
+ascending order: one doc_id may fill several. A shard:
 
     8 bytes   magic
     3 x int64 documents, ids, data bytes
@@ -21,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,13 +136,16 @@ def put(uri: str, content: bytes) -> None:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, rank: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
     docs: list[int] = []
     sizes: list[int] = []
     held: list[np.ndarray] = []
-    total = 0
+    total = number = 0
 
     def flush() -> pa.RecordBatch:
-        name = f"{docs[0]}-{docs[-1]}.ids"
+        nonlocal number
+        name = f"{task:08d}-{number:08d}-{docs[0]}-{docs[-1]}.ids"
+        number += 1
         put(f"{folder}/{name}", shard_bytes(docs, sizes, np.concatenate(held)))
         row = pa.RecordBatch.from_pydict({"shard": [name], "first_doc": [docs[0]], "n_docs": [len(docs)], "n_tokens": [sum(sizes)]}, schema=pa.schema([("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
         docs.clear(), sizes.clear(), held.clear()

@@ -60,6 +60,22 @@ def test_token_files(spark, tmp_path):
     assert token_file_digests(docs.where("false"), path).collect() == []
 
 
+def test_shards_of_one_doc_id(spark, tmp_path):
+    path = vocabulary_file("word_bpe_49k.json")
+    rows = [(7, " ".join(["word"] * (1 + i % 9))) for i in range(40)] + [(3, "word " * 5), (10, "word"), (11, "word " * 30)]
+    folder = f"file://{tmp_path}/ids"
+    shards = write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, folder, shard_tokens=20).collect()
+    whole = encoder(path).whole
+    want = sorted((doc, whole.encode(text, add_special_tokens=False).ids + [1]) for doc, text in rows)
+    back = sorted((r.doc_id, r.ids) for r in read_token_files(spark, folder).collect())
+    assert back == want and len({r.shard for r in shards}) == len(shards) and sum(r.first_doc == 7 for r in shards) > 2
+    at = 0
+    for r in sorted(shards, key=lambda r: r.shard):
+        assert r.start == at
+        at += r.n_tokens
+    assert at == sum(len(ids) for _, ids in want) and [r.first_doc for r in sorted(shards, key=lambda r: r.shard)] == sorted(r.first_doc for r in shards)
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins = best_fit([6, 5, 5, 4, 3, 1], 10)
     assert sorted(map(sorted, bins)) == [[0, 3], [1, 2], [4, 5]]
