@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from lawloom.llm.components import connected_components
-from lawloom.llm.jaccard_join import keep_one, prefix_depth, similar_documents
+from lawloom.llm.common import materialise
+from lawloom.llm.jaccard_join import SIGNED, _sign, forest_links, keep_one, shortest_prefix, similar_documents, subtree_links
 from lawloom.llm.repeats import anchors, radix_groups, remove_repeats, Hashed
 from lawloom.llm.unit_dedup import remove_units, repeated_units
 
@@ -59,20 +60,72 @@ def brute_links(docs, threshold=0.8):
     return n, [find(i) for i in range(len(docs))]
 
 
-def test_prefix_depth():
-    assert prefix_depth(0.8, 24, 8, 0.9999) == 5 and prefix_depth(0.8, 24, 8, 0.5) == 8 and prefix_depth(0.8, 1, 8, 0.9999) == 1
+def test_shortest_prefix():
+    assert shortest_prefix(0.8, 24, 8, 0.9999) == 5 and shortest_prefix(0.8, 24, 8, 0.5) == 8 and shortest_prefix(0.8, 1, 8, 0.9999) == 1
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_similar_documents(spark, block):
+@pytest.mark.parametrize("how", [{}, {"block_docs": 4}, {"node_docs": 2}])
+def test_similar_documents(spark, how):
     docs = corpus()
-    got = {r.doc_id: r for r in similar_documents(frame(spark, docs), block_docs=block).collect()}
+    got = {r.doc_id: r for r in similar_documents(frame(spark, docs), **how).collect()}
     links, classes = brute_links(docs)
     assert len(got) == len(docs)
     assert [got[i].n_links for i in range(len(docs))] == links
     assert [got[i].class_id for i in range(len(docs))] == classes
 
 
+def test_subtree_links_are_the_single_links_of_each_level():
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 3, (40, 6)).astype(np.uint16)
+    docs = np.arange(40)
+    found = subtree_links(docs, sig[:, :3], sig, 0.5, 1)
+    for level in (3, 2, 1):
+        root = list(range(40))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        brute = [(i, j) for i in range(40) for j in range(i) if (sig[i, :level] == sig[j, :level]).all() and (sig[i] == sig[j]).mean() >= 0.5]
+        for i, j in brute:
+            root[find(i)] = find(j)
+        want = [find(i) for i in range(40)]
+        root = list(range(40))
+        for i, j, n, s in found:
+            assert s == (sig[i] == sig[j]).mean() and (sig[i, :n] == sig[j, :n]).all()
+            if n >= level:
+                root[find(i)] = find(j)
+        got = [find(i) for i in range(40)]
+        assert [[a == b for b in want] for a in want] == [[a == b for b in got] for a in got]
+
+
+def edited(n, changes, seed):
+    """Pairs of texts of 200 words, ``changes`` of them different."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(n):
+        w = [f"t{i}w{j}" for j in range(200)]
+        docs.append(" ".join(w))
+        for j in rng.sample(range(200), changes):
+            w[j] = "other"
+        docs.append(" ".join(w))
+    return docs
+
+
+def test_prefixes_are_shortened_as_far_as_the_data_need(spark):
+    def depth(docs):
+        signed = materialise(frame(spark, docs).select("doc_id", "text").mapInArrow(lambda b: _sign(b, 24, 8), SIGNED))
+        links, level = forest_links(signed.select("doc_id", "sig"), threshold=0.8, trees=24, depth=8, recall=0.9999, node_docs=4096)
+        return level, {(r.a // 2, r.b // 2) for r in links.collect()}
+
+    level, found = depth(edited(400, 1, 1))
+    assert level > 5 and found >= {(i, i) for i in range(400)}
+    level, found = depth(edited(400, 4, 2))
+    assert level == 5 and found >= {(i, i) for i in range(400)}
+    assert depth(["nothing alike here today", "and nothing like that there"])[0] == 5
+
+
 def test_one_large_group_of_near_copies(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
