@@ -112,7 +112,7 @@ def pack_sequences(pieces: DataFrame, *, size: int = 2048, slack: int = 8, share
         full.append(kept)
         left = out.where("NOT done").drop("done")
         was, n, turn = n, left.count() if parts > 1 else 0, turn + 1
-        if n and n > 0.98 * was:  # nothing fits together any more
+        if n and n >= was:  # a whole round has joined nothing
             full.append(out.where("NOT done"))
             break
     bins = None

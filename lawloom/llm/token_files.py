@@ -135,19 +135,25 @@ def put(uri: str, content: bytes) -> None:
     store.move(part, path)
 
 
+_SHARD = pa.schema([("shard", pa.string()), ("task", pa.int64()), ("before", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+#: Tasks whose ids are summed together; windows over tasks and over such groups of them stay small.
+_TASKS = 2048
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, rank: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     docs: list[int] = []
     sizes: list[int] = []
     held: list[np.ndarray] = []
-    total = number = 0
+    total = number = written = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal number
+        nonlocal number, written
         name = f"{task:08d}-{number:08d}-{docs[0]}-{docs[-1]}.ids"
         number += 1
         put(f"{folder}/{name}", shard_bytes(docs, sizes, np.concatenate(held)))
-        row = pa.RecordBatch.from_pydict({"shard": [name], "first_doc": [docs[0]], "n_docs": [len(docs)], "n_tokens": [sum(sizes)]}, schema=pa.schema([("shard", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        row = pa.RecordBatch.from_pydict({"shard": [name], "task": [task], "before": [written], "first_doc": [docs[0]], "n_docs": [len(docs)], "n_tokens": [sum(sizes)]}, schema=_SHARD)
+        written += sum(sizes)
         docs.clear(), sizes.clear(), held.clear()
         return row
 
@@ -188,9 +194,14 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, end_
     put(f"{folder}/ranks.bin", by_rank.astype("<u4").tobytes())
     parts = max(1, -(-int(count.sum()) // shard_tokens))
     dealt = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "blob")
-    shards = materialise(dealt.mapInArrow(partial(_write, folder=folder, rank=rank, limit=shard_tokens), "shard string, first_doc long, n_docs long, n_tokens long"))
-    before = Window.orderBy("first_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    shards = materialise(dealt.mapInArrow(partial(_write, folder=folder, rank=rank, limit=shard_tokens), "shard string, task long, before long, first_doc long, n_docs long, n_tokens long"))
+    # ids before a shard: those of groups of tasks before its own, of tasks of the group before its own, and its task's
+    tasks = shards.groupBy("task").agg(F.sum("n_tokens").alias("n")).withColumn("some", F.floor(F.col("task") / _TASKS))
+    earlier = lambda by, *part: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.withColumn("in_some", F.coalesce(F.sum("n").over(earlier("task", "some")), F.lit(0)))
+    groups = tasks.groupBy("some").agg(F.sum("n").alias("n")).withColumn("to_some", F.coalesce(F.sum("n").over(earlier("some")), F.lit(0))).drop("n")
+    starts = tasks.join(groups, "some").select("task", (F.col("to_some") + F.col("in_some")).alias("at"))
+    return shards.join(starts, "task").select("shard", "first_doc", "n_docs", "n_tokens", (F.col("at") + F.col("before")).alias("start"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray) -> Iterator[pa.RecordBatch]:

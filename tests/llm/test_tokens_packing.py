@@ -108,6 +108,9 @@ def check_packing(rows, docs, size):
 def test_packing(spark):
     docs = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, "word " * (i % 97)) for i in range(400)]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, length int")
+    twice = pack_documents(df.unionByName(df).unionByName(spark.createDataFrame([(None, "word", 1)], df.schema)), vocabulary_file("byte_bpe_50k.json"), size=256).collect()
+    assert sum(r.length for r in twice if r.doc_id is not None) == 2 * sum(r.length for r in pack_documents(df, vocabulary_file("byte_bpe_50k.json"), size=256).collect())
+    assert [r.length for r in twice if r.doc_id is None] == [2]
     n, total = check_packing(pack_documents(df, vocabulary_file("byte_bpe_50k.json"), size=256).collect(), docs, 256)
     assert n <= -(-total // 256) + 2
     n, _ = check_packing(pack_documents(df, vocabulary_file("byte_bpe_50k.json"), size=256, share=40).collect(), docs, 256)
@@ -115,6 +118,37 @@ def test_packing(spark):
     assert pack_documents(df.where("false"), vocabulary_file("byte_bpe_50k.json")).collect() == []
 
 
+def fewest(fills, size):
+    """The least number of bins, by trying all partitions of a few items."""
+    best = len(fills)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(fills):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + fills[i] <= size:
+                place(i + 1, [*bins[:b], bins[b] + fills[i], *bins[b + 1 :]])
+        place(i + 1, [*bins, fills[i]])
+
+    place(0, [])
+    return best
+
+
+def test_best_fit_beside_the_fewest_bins():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(60):
+        fills = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))]
+        bins = best_fit(fills, 30)
+        assert sorted(i for b in bins for i in b) == list(range(len(fills))) and all(sum(fills[i] for i in b) <= 30 for b in bins)
+        assert len(bins) <= max(fewest(fills, 30), (11 * fewest(fills, 30) + 6) // 9)
+
+
 def test_packing_where_nothing_fits(spark):
     docs = [(i, "word " * 140) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
