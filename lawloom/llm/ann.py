@@ -2,8 +2,9 @@
 
 A unit vector is the sum of one word of each codebook; all codebooks are of full
 dimension and fitted to what the ones before leave over. Encoding keeps a beam of the
-best partial sums. The first codebook's word is also the vector's list: a query visits
-the lists of the words nearest to it, until these hold enough vectors. There a vector's
+best partial sums. The first codebook's word (of large tables, the words of the first few)
+is also the vector's list: a query visits the lists nearest to it, until these hold
+enough vectors. There a vector's
 distance is its stored norm less looked-up products of its words with the query, and the
 best of each block are reranked by the exact cosine in double precision.
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 @dataclass
 class Codebooks:
@@ -111,13 +114,28 @@ def encode(book: Codebooks, x: np.ndarray, beam: int = 8, batch: int = 512) -> t
     return codes, norms
 
 
-def list_order(book: Codebooks, unit: np.ndarray) -> np.ndarray:
-    """The lists in the order in which each unit vector visits them."""
-    first = book.words[: int(book.starts[1])].astype(np.float64)
-    return np.argsort((first * first).sum(1) - 2 * unit @ first.T, axis=1, kind="stable")
+def list_count(book: Codebooks, deep: int) -> int:
+    """Lists are the words of the first ``deep`` codebooks, one of each."""
+    return int(np.prod(np.diff(book.starts)[:deep]))
+
+
+def list_of(book: Codebooks, codes: np.ndarray, deep: int) -> np.ndarray:
+    out = np.zeros(len(codes), np.int64)
+    for m in range(deep):
+        out = out * int(book.starts[m + 1] - book.starts[m]) + codes[:, m] - book.starts[m]
+    return out
+
 
+def list_order(book: Codebooks, unit: np.ndarray, deep: int = 1) -> np.ndarray:
+    """The lists in the order in which each unit vector visits them: by the sums of their words."""
+    centre = np.zeros((1, book.words.shape[1]))
+    for m in range(deep):
+        words = book.words[int(book.starts[m]) : int(book.starts[m + 1])].astype(np.float64)
+        centre = (centre[:, None, :] + words[None]).reshape(-1, words.shape[1])
+    return np.argsort((centre * centre).sum(1) - 2 * unit @ centre.T, axis=1, kind="stable")
 
-def lists_to_visit(book: Codebooks, unit: np.ndarray, lists: np.ndarray, k: int, recall: float, tries: int = 256) -> int:
+
+def lists_to_visit(book: Codebooks, unit: np.ndarray, lists: np.ndarray, k: int, recall: float, deep: int = 1, tries: int = 256) -> int:
     """How many lists hold ``recall`` of the true ``k`` nearest in the sample, found by brute force for ``tries`` of it."""
     asked = unit[:tries]
     near = asked @ unit.T
@@ -126,7 +144,7 @@ def lists_to_visit(book: Codebooks, unit: np.ndarray, lists: np.ndarray, k: int,
     if take < 1:
         return 1
     top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-    order = list_order(book, asked)
+    order = list_order(book, asked, deep)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
     found = np.sort(place[np.arange(len(asked))[:, None], lists[top]].reshape(-1))
@@ -140,22 +158,22 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 _ROW = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("vector", pa.binary()), ("codes", pa.binary()), ("norm", pa.float32())])
 
 
-def _index(batches: Iterator[pa.RecordBatch], book: Codebooks, dim: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], book: Codebooks, dim: int, deep: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch.column("embedding"), dim)
         codes, norms = encode(book, x / np.linalg.norm(x, axis=1, keepdims=True))
-        yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0]), pa.nulls(len(x), pa.int64()), batch.column("ids"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms)], schema=_ROW)
+        yield pa.RecordBatch.from_arrays([pa.array(list_of(book, codes, deep).astype(np.int32)), pa.nulls(len(x), pa.int64()), batch.column("ids"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norms)], schema=_ROW)
 
 
-def _route(batches: Iterator[pa.RecordBatch], book: Codebooks, dim: int, sizes: np.ndarray, probes: int, least: int) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], book: Codebooks, dim: int, deep: int, sizes: np.ndarray, probes: int, least: int) -> Iterator[pa.RecordBatch]:
     """Each query once for each list it visits: ``probes`` lists, and more until they hold ``least`` vectors."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch.column("embedding"), dim)
-        order = [o[sizes[o] > 0] for o in list_order(book, x / np.linalg.norm(x, axis=1, keepdims=True))]
+        order = [o[sizes[o] > 0] for a in range(0, len(x), 64) for o in list_order(book, x[a : a + 64] / np.linalg.norm(x[a : a + 64], axis=1, keepdims=True), deep)]
         stops = [max(probes, int(np.searchsorted(np.cumsum(sizes[o]), least)) + 1) for o in order]
         rows = np.repeat(np.arange(len(x)), [min(s, len(o)) for s, o in zip(stops, order, strict=True)])
         lists = np.concatenate([o[:s] for s, o in zip(stops, order, strict=True)])
@@ -184,11 +202,13 @@ def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, k: int, rerank: in
         for m in range(code.shape[1]):
             far -= 2 * table[:, code[:, m]]
         take = min(rerank, len(ids))
-        near = np.argpartition(far, take - 1, axis=1)[:, :take]
-        exact = np.einsum("qd,qtd->qt", q, x[near]) / (q_size[:, None] * size[near])
+        # all that are as near as the last of these, so that ties go by vec_id and not by place
+        edge = np.partition(far, take - 1, axis=1)[:, take - 1 : take] + 1e-5
         out: list[tuple[int, int, float]] = []
         for i, (query, _) in enumerate(asked):
-            found = [(-s, v) for s, row in zip(exact[i].tolist(), near[i].tolist(), strict=True) for v in ids[row] if v != query]
+            near = np.flatnonzero(far[i] <= edge[i])
+            exact = x[near] @ q[i] / (q_size[i] * size[near])
+            found = [(-s, v) for s, row in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[row] if v != query]
             out += [(query, v, -s) for s, v in sorted(found)[:k]]
         asked.clear()
         if not out:
@@ -213,22 +233,30 @@ def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, k: int, rerank: in
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that can be compared: of the commonest dimension, finite and not zero."""
+    """(vec_id, embedding) of vectors that can be compared: of the commonest dimension, finite and not zero.
+
+    A vec_id stands for one vector: of several the least counts, element by element.
+    """
     v = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     fine = v.where("vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x != 0)")
     dim = fine.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return fine.where(F.size("embedding") == (dim["dim"] if dim else 0))
+    fine = fine.where(F.size("embedding") == (dim["dim"] if dim else 0))
+    n, distinct = fine.agg(F.count("*"), F.count_distinct("vec_id")).first()
+    return fine if n == distinct else fine.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_rows: int = 16_384, recall: float = 0.985, least: int = 2_000, rerank: int = 64, block: int = 4096, lists: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``embeddings`` for each of ``queries`` (both vec_id, embedding), but itself.
 
     Codebooks are fitted to at most ``sample_rows`` vectors, those of the smallest hashes
-    of vec_id; every row is indexed. The number of lists is the power of two below the
-    root of the rows, 1024 at most; a query visits so many that, in the sample, they hold
-    ``recall`` of its true nearest. A block holds about ``block`` vectors of a list, however
+    of vec_id; every row is indexed. The number of lists is about the root of the rows, at
+    any size: the first codebook has a word for each as far as the sample can fit them (a
+    sixteenth of it), beyond that a list is a word of the first and one of the next
+    codebooks. A query visits so many that, in the sample, they hold ``recall`` of its true
+    nearest. A block holds about ``block`` vectors of a list, however
     long the list. Vectors null, zero, of another dimension than most, or with null or
-    non-finite components take no part. A vec_id repeated with the same vector counts once.
+    non-finite components take no part. A repeated vec_id counts once, with the least of its
+    vectors. Other columns are not read. Ties, also of scaled copies, go to the smaller vec_id.
     No usable vector: no row. Fewer than ``k`` candidates: all of them, as the lists visited
     are as many as hold ``least`` vectors.
     Returns query_id, rank, vec_id, score (cosine, double); ties go to the smaller vec_id.
@@ -241,22 +269,24 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_row
     x = np.array([r[0] for r in sample])
     dim = x.shape[1]
     total = good.count()
-    lists = lists or min(1024, max(1, 2 ** int(np.log2(max(1.0, total**0.5)))))
+    wanted = lists or max(1, 2 ** int(np.log2(max(1.0, total**0.5))))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    book = fit(x, lists)
-    probes = lists_to_visit(book, x, encode(book, x)[0][:, 0], k, recall)
+    book = fit(x, min(wanted, max(1, sample_rows // 16)))
+    deep = 1
+    while list_count(book, deep) < wanted and deep < min(3, len(book.starts) - 1):
+        deep += 1
+    probes = lists_to_visit(book, x, list_of(book, encode(book, x)[0], deep), k, recall, deep)
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = good.distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    from .common import materialise
-
-    indexed = materialise(distinct.mapInArrow(partial(_index, book=book, dim=dim), "list int, id long, ids array<long>, vector binary, codes binary, norm float"))
+    indexed = materialise(distinct.mapInArrow(partial(_index, book=book, dim=dim, deep=deep), "list int, id long, ids array<long>, vector binary, codes binary, norm float"))
     counted = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
-    sizes = np.array([counted.get(i, 0) for i in range(int(book.starts[1]))], np.int64)
-    blocks = F.create_map(*[F.lit(x) for i, n in counted.items() for x in (i, max(1, -(-n // block)))])
+    sizes = np.array([counted.get(i, 0) for i in range(list_count(book, deep))], np.int64)
+    # one row a list: joined, and broadcast only while Spark finds it small
+    blocks = materialise(indexed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     asked = usable(queries).where(F.size("embedding") == dim).distinct()
-    routed = asked.mapInArrow(partial(_route, book=book, dim=dim, sizes=sizes, probes=probes, least=least), "list int, id long, ids array<long>, vector binary, codes binary, norm float")
-    own_block = F.pmod(F.xxhash64("vector"), blocks[F.col("list")]).cast("int")
-    rows = indexed.withColumn("block", own_block).unionByName(routed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1))))
+    routed = asked.mapInArrow(partial(_route, book=book, dim=dim, deep=deep, sizes=sizes, probes=probes, least=least), "list int, id long, ids array<long>, vector binary, codes binary, norm float")
+    own_block = F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
+    rows = indexed.join(blocks, "list").withColumn("block", own_block).unionByName(routed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))).drop("blocks")
     scanned = rows.repartition("list", "block").sortWithinPartitions("list", "block", F.col("id").isNotNull()).mapInArrow(partial(_scan, book=book, k=k, rerank=rerank), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scanned.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
