@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (a local run), a temporary folder stands in.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="lawloom-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -44,6 +46,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores after it, such that no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, text_bytes, text_of
+from .common import Words, materialise, slices, text_bytes, text_of
 
 SHINGLE = 5
 BLOCKS, BITS = 8, 8
@@ -203,7 +203,7 @@ def _indexes(benchmark: DataFrame, radius: int, part_items: int) -> Iterator[Ind
     shingles = items.mapInArrow(_item_shingles, "item_id long, n_words int, place int, shingle long")
     df = shingles.groupBy("shingle").agg(F.countDistinct("item_id").alias("df"))
     bags = shingles.join(df, "shingle").groupBy("item_id", "n_words").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "df"))).alias("s"))
-    bags = bags.select("item_id", "n_words", F.col("s.shingle").alias("shingles"), F.col("s.df").alias("dfs"))
+    bags = materialise(bags.select("item_id", "n_words", F.col("s.shingle").alias("shingles"), F.col("s.df").alias("dfs")))
     parts = max(1, -(-items.count() // part_items))
     for i in range(parts):
         rows = bags.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()  # about part_items items
@@ -218,7 +218,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float
     similarity, start, end (code points of the window, end exclusive). A document shorter
     than an item is one window. Items of fewer than five words are one shingle and match
     whole documents of the same words. Null and empty texts match nothing; so do items
-    without item_id; repeated rows give repeated rows; repeated items count once each id.
+    without item_id; repeated rows give repeated rows, null doc_ids too; of a repeated item_id
+    the greatest text counts, once. Texts are read whole, however long. Of windows equally
+    alike the first counts. Other columns are not read.
     ``part_items`` bounds the part of the benchmark that a task holds.
     """
     docs = documents.select("doc_id", text_of().alias("text"))
@@ -229,7 +231,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float
 
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20, part_items: int = 20_000) -> DataFrame:
-    """``documents`` without those that hold an item; all columns are kept, and no row is shuffled."""
+    """``documents`` without those that hold an item; all columns are kept, whatever their names, and no row is shuffled.
+
+    Null and empty texts stay, null doc_ids too; repeated rows stay or go alike.
+    """
     kept = documents
     for index in _indexes(benchmark, radius, part_items):
         kept = kept.mapInArrow(partial(_keep, index=index, radius=radius, threshold=threshold), documents.schema)

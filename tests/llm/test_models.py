@@ -58,6 +58,12 @@ def test_toxicity(spark):
     kept = keep_clean(df, model)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.rejected}
     assert {1000, 1001, 1002} <= {r.doc_id for r in kept.collect()}
+    clashing = df.selectExpr("*", "lang AS __score", "lang AS score_", "lang AS rejected")
+    assert keep_clean(clashing, model).columns == clashing.columns and keep_clean(clashing.unionByName(clashing), model).count() == 2 * kept.count()
+    nameless = df.limit(1).selectExpr("CAST(NULL AS long) AS doc_id", "text", "lang", "score")
+    assert score_documents(df.unionByName(nameless), model).where("doc_id IS NULL").count() == 1
+    doubled = fit(df.unionByName(df.selectExpr("doc_id", "concat('!', text) AS text", "lang", "score")), labels)
+    assert np.array_equal(doubled.weights, fit(df, labels).weights)
     swapped = df.selectExpr("doc_id + 7 AS doc_id", "text", "'zz' AS lang", "score")
     again = {r.doc_id - 7: r.score for r in score_documents(swapped, model).collect()}
     assert all(abs(again[i] - got[i].score) < 1e-12 for i in again)
@@ -98,6 +104,29 @@ def test_nearest(spark, n):
     assert got[0] == [10_000, 10_001, 10_002, 10_003, 10_004]
 
 
+def test_nearest_with_lists_of_several_words(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), sample_rows=256, lists=200, least=300).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, range(0, 600, 50))
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(9)
+    near = [1.0, 0.5, 0.25, 0.125]
+    rows = [(0, near), (7, [9.0, 0.0, 0.0, 0.0]), (7, [-9.0, 0.0, 0.0, 0.0]), (0, [2.0, 1.0, 0.5, 0.25])]
+    rows += [(i, [x * 2.0 ** (i % 5) for x in near]) for i in rng.permutation(np.arange(100, 300)).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(df, df.where("vec_id = 0"), rerank=8).orderBy("rank").collect()]
+    assert got == [(1, 100), (2, 101), (3, 102), (4, 103), (5, 104)]
+    got = ann.nearest(df.where("vec_id IN (0, 7)"), df.where("vec_id = 0")).collect()
+    assert [(r.vec_id, round(r.score, 3)) for r in got] == [(7, -round(1.0 / 1.328125**0.5, 3))]
+
+
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).collect() == []
