@@ -9,11 +9,15 @@ need sorting; about one byte in sixteen is one. The digits, most significant fir
    document has the same, every window around the anchor repeats one there;
 3. for the rest, each window around the anchor, eight bytes a pass, until ``length``
    bytes. Windows alone in their group leave after each pass; groups that are left
-   after the last are exactly the repeated windows.
-
-Digits 1 and 2 travel as hashes, in packed blocks, and each task settles repeats within
-its own documents first, so a passage of every document is sent once a block of documents.
-Texts travel compressed, dealt by doc_id once.
+   after the last are exactly the repeated windows. A group of more anchors than a
+   task should hold is cut by its next digit first, the whole window, as a digest: of
+   each window the least document is found by a grouped minimum, which tasks sum up
+   before the shuffle.
+
+Digits 1 and 2 travel as digests, 48 and 56 bits beside the bits of the bucket, in packed
+blocks, and each task settles repeats within its own documents first, so a passage of
+every document is sent once a block of documents. Texts travel compressed, dealt by
+doc_id once.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, ragged, slices
+from .common import materialise, mix, powers, ragged, slices
 
 GRAM = 20
 BASE = 0x100000001B3
@@ -132,7 +136,8 @@ def _unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-_WIDTHS = (5, 5, 3, 4)
+#: Bytes of a gram (beside its bucket), a neighbourhood, a document of the block and a place.
+_WIDTHS = (6, 7, 3, 4)
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("n", pa.int32()), ("body", pa.binary())])
 
 
@@ -323,6 +328,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000)
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "right", "around")), strict=True):
+            # a group holds ``many`` rows at most
             if len(rows) >= many and row[0] != rows[-1][0]:
                 yield close()
                 rows = []
@@ -331,6 +337,32 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000)
         yield close()
 
 
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each window of each anchor: its group, how far the anchor is into it, 128 bits of it, its document and place."""
+    import hashlib
+
+    reach = length - GRAM
+    schema = pa.schema([("group", pa.int64()), ("within", pa.int32()), ("window", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            out: list[tuple] = []
+            for group, doc, place, left, around in zip(*(part.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "around")), strict=True):
+                for at in range(len(around) - length + 1):
+                    if 0 <= left - at <= reach:
+                        out.append((group, left - at, hashlib.blake2b(around[at : at + length], digest_size=16).digest(), doc, place - left + at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _settle_large(opened: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, end) of the windows of large groups that an earlier document has, by grouped minima."""
+    windows = materialise(opened.mapInArrow(partial(_windows, length=length), "group long, within int, window binary, doc_id long, start int"))
+    key = ["group", "within", "window"]
+    first = materialise(windows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
+    return windows.join(first, key).where("doc_id > least").select("doc_id", "start", (F.col("start") + length).alias("end")).distinct()
+
+
 def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     import hashlib
 
@@ -350,13 +382,15 @@ def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
-def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool = False, part_bytes: int = 24 << 20, bucket_anchors: int = 400_000) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool = False, part_bytes: int = 24 << 20, bucket_anchors: int = 400_000, group_anchors: int = 40_000) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document of smaller doc_id.
 
     ``documents`` (doc_id, text): texts are UTF-8 bytes, null is empty. Matches don't cross
     documents and are judged on the input. Rows without doc_id have no rank and are left
     out. A doc_id stands for one document: of repeated rows the greatest text counts,
-    once. Texts shorter than ``length`` keep all. An empty table gives no row.
+    once. Texts shorter than ``length`` keep all; longer ones are read whole. Other columns
+    are not read. An empty table gives no row. A task sorts ``group_anchors`` anchors of one
+    gram at most; larger groups are cut by their windows first.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also
     kept (bytes) and removed ([start, end) byte ranges).
     """
@@ -377,12 +411,15 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool =
     # an outer join: a semi join would move below the dealing, and the texts would be dealt twice
     flagged = texts.join(copied.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "blob", "copied")
     sent = flagged.mapInArrow(partial(_send, length=length, buckets=buckets), "bucket int, settled boolean, docs binary, n int, body binary")
-    replies = sent.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(partial(_reply, buckets=buckets), "doc_id long, place int, group long")
+    replies = sent.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(partial(_reply, buckets=buckets), "doc_id long, place int, group long")
     asked = replies.groupBy("doc_id").agg(F.collect_list(F.struct("place", "group")).alias("r")).select("doc_id", F.col("r.place").alias("places"), F.col("r.group").alias("groups"))
     opened = texts.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(partial(_open, length=length), "group long, doc_id long, start int, end int, left short, right short, around binary")
+    opened = materialise(opened)
     ranges = opened.where("group IS NULL").select("doc_id", "start", "end")
-    sorted_ = opened.where("group IS NOT NULL").repartition("group").sortWithinPartitions("group").mapInArrow(partial(_settle, length=length), "doc_id long, start int, end int")
-    spans = ranges.unionByName(sorted_).groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("spans"))
+    open_ = opened.where("group IS NOT NULL")
+    large = materialise(open_.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > group_anchors).select("group"))
+    sorted_ = open_.join(large, "group", "left_anti").repartition("group").sortWithinPartitions("group").mapInArrow(partial(_settle, length=length, many=group_anchors), "doc_id long, start int, end int")
+    spans = ranges.unionByName(sorted_).unionByName(_settle_large(open_.join(large, "group", "left_semi"), length)).groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("spans"))
     known = copied.join(spans, "doc_id", "full")
     done = texts.join(known.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "blob", F.coalesce("copied", F.lit(False)).alias("copied"), "spans")
     out = done.mapInArrow(partial(_finish, keep_text=keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<array<long>>")
