@@ -44,6 +44,18 @@ def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def unit_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents of which units go."""
+    from pyspark.sql import functions as F
+
+    from .unit_dedup import remove_units, repeated_units
+
+    documents = read_table(spark, sf_dir, "documents")
+    left = remove_units(documents, repeated_units(documents)).where("removed_spans IS NOT NULL")
+    return left.select("doc_id", "text", F.size("removed_spans").alias("n_spans"))
+
+
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
@@ -93,14 +105,15 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a source is a directory, and of its documents each hundred ids."""
+    """Documents as files: a thousand and a hundred ids are directories, and each tenth id is the name of a licence file."""
     from pyspark.sql import functions as F
 
     from .licenses import scan_licenses
 
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    name = F.when(F.col("doc_id") % 10 == 0, "COPYING").otherwise("text")
+    path = F.concat_ws("/", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat_ws(".", name, F.col("doc_id").cast("string")))
     scanned = scan_licenses(read_table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
-    return scanned.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    return scanned.withColumn("doc_id", F.substring_index("path", ".", -1).cast("long"))
 
 
 #: Runs of what parts words, for DuckDB.
@@ -121,12 +134,21 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b F
 same AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS copy_of, CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w) END AS n_copies FROM w)
 SELECT doc_id, (SELECT min(y) FROM reach WHERE x = doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links, copy_of, n_copies FROM same"""
 
-ORACLES["op5_unit_dedup"] = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text != ''),
+_UNITS = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text != ''),
 lo AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS s0, len({_words("line")}) AS line_words FROM l),
 s AS (SELECT doc_id, k, s0, line_words, unnest(string_split(regexp_replace(line, '([.!?]) ', concat('\\1', chr(1)), 'g'), chr(1))) AS u, unnest(range(1, len(string_split(regexp_replace(line, '([.!?]) ', concat('\\1', chr(1)), 'g'), chr(1))) + 1)) AS j FROM lo),
 so AS (SELECT *, s0 + sum(length(u) + 1) OVER (PARTITION BY doc_id, k ORDER BY j) - length(u) - 1 AS a, len({_words("u")}) AS n FROM s),
-units AS (SELECT doc_id, line AS u, s0 + CASE WHEN line[1:1] = ' ' THEN 1 ELSE 0 END AS a, s0 + length(line) AS b, line_words AS n FROM lo WHERE line_words >= 5
+units AS (SELECT doc_id, line AS u, s0 + CASE WHEN line[1:1] = ' ' THEN 1 ELSE 0 END AS a, s0 + length(line) AS b, line_words AS n FROM lo WHERE line_words >= 1
 UNION ALL SELECT doc_id, u, a + CASE WHEN j = 1 AND u[1:1] = ' ' THEN 1 ELSE 0 END, a + length(u), n FROM so WHERE n >= 8 AND n != line_words),
 d AS (SELECT doc_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS INTEGER) AS n, array_to_string({_words("u")}, ' ') AS key FROM units),
-f AS (SELECT *, min({{'doc': doc_id, 'at': a}}) OVER (PARTITION BY key) AS first FROM d)
+f AS (SELECT *, min({{'doc': doc_id, 'at': a}}) OVER (PARTITION BY key) AS first FROM d)"""
+
+ORACLES["op5_unit_dedup"] = f"""WITH {_UNITS}
 SELECT doc_id, a AS start, b AS "end", n AS n_words, first.doc AS first_doc_id, first.at AS first_start FROM f WHERE doc_id != first.doc OR a != first.at"""
+
+ORACLES["unit_dedup_texts"] = f"""WITH {_UNITS},
+gone AS (SELECT DISTINCT doc_id, a, b FROM f WHERE doc_id != first.doc OR a != first.at),
+c AS (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM gone)),
+keep AS (SELECT doc_id, i, text[i + 1:i + 1] AS x FROM c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = c.doc_id AND c.i >= g.a AND c.i < g.b))
+SELECT d.doc_id, coalesce((SELECT string_agg(x, '' ORDER BY i) FROM keep k WHERE k.doc_id = d.doc_id), '') AS text, CAST((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS INTEGER) AS n_spans
+FROM (SELECT DISTINCT doc_id FROM gone) d"""

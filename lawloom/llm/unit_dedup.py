@@ -58,26 +58,33 @@ def _units(batches: Iterator[pa.RecordBatch], line_words: int, sentence_words: i
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(ids[rows]), pa.array((chars[starts] - base).astype(np.int32)), pa.array((chars[ends] - base).astype(np.int32)), pa.array((last - first).astype(np.int32))], names=["high", "low", "doc_id", "start", "end", "n_words"])
 
 
-def repeated_units(documents: DataFrame, *, line_words: int = 5, sentence_words: int = 8) -> DataFrame:
+def repeated_units(documents: DataFrame, *, line_words: int = 1, sentence_words: int = 8) -> DataFrame:
     """Units of ``documents`` (doc_id, text) that an earlier place has too: the ones to remove.
 
-    Lines of fewer than ``line_words`` words and sentences of fewer than
-    ``sentence_words`` are no evidence of copying and stay. Offsets are code points,
-    the end exclusive. Null and empty texts have no units; rows without doc_id have no
-    rank and are left out; an empty table gives no row. In repeated rows all units of
-    the second copy repeat the first's, at the same (doc_id, start): they are one place
-    and stay.
+    Every line with a word is a unit (``line_words`` can ask for more). A sentence inside a
+    longer line is one from ``sentence_words`` words on: shorter ones recur in any prose.
+    Offsets are code points, the end exclusive. Null, empty and wordless texts have no
+    units; texts are read whole however long; rows without doc_id have no rank and are
+    left out; other columns are not read; an empty table gives no row. In repeated rows all
+    units of the second copy repeat the first's, at the same (doc_id, start): they are one
+    place and stay. Ties go to the smaller (doc_id, start).
     Returns doc_id, start, end, n_words, first_doc_id, first_start.
     """
     docs = documents.select("doc_id", text_of().alias("text")).where("doc_id IS NOT NULL")
     units = materialise(docs.mapInArrow(partial(_units, line_words=line_words, sentence_words=sentence_words), UNITS))
-    first = units.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    # summed in each task before the shuffle, and written: the join can then split the places of a very common unit
+    first = materialise(units.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first"))
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
     return units.join(first, ["high", "low"]).where(later).select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
 def remove_units(documents: DataFrame, units: DataFrame) -> DataFrame:
-    """``documents`` without the ``units`` of each, all other columns kept; ``removed_spans`` holds the offsets."""
+    """``documents`` without the ``units`` of each, all other columns kept.
+
+    ``removed_spans`` holds the offsets, null where nothing goes; a column of that name is
+    replaced. Repeated rows of one doc_id lose the same spans. Null texts stay null.
+    """
+    documents = documents.drop("removed_spans")
     spans = units.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
     joined = documents.join(spans, "doc_id", "left")
     rest = F.expr("""

@@ -194,6 +194,8 @@ def test_remove_repeats(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame(spark, docs, "spans")).collect()}
     want = brute_repeats(docs)
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    small = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame(spark, docs), group_anchors=3).collect()}
+    assert small == want
     texts = {r.doc_id: r for r in remove_repeats(frame(spark, docs), keep_text=True).collect()}
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(b - a for a, b in r.removed) == r.n_removed for r in texts.values())
 
@@ -242,9 +244,11 @@ def test_units(spark):
     docs = [f"Own words of first.\n{line}\n{sentence} Rest one of the first.", f"{line.upper()}!\nOther é words 😀. {sentence}", "too short\nline", "too short\nline", None, ""]
     df = frame(spark, docs, "start")
     rows = {(r.doc_id, docs[r.doc_id][r.start : r.end], r.first_doc_id) for r in repeated_units(df).collect()}
-    assert rows == {(1, line.upper() + "!", 0), (1, sentence, 0)}
+    assert rows == {(1, line.upper() + "!", 0), (1, sentence, 0), (3, "too short", 2), (3, "line", 2)}
+    assert {r.doc_id for r in repeated_units(df, line_words=5).collect()} == {1}
     cleaned = {r.doc_id: r.text for r in remove_units(df, repeated_units(df)).collect()}
-    assert cleaned[1] == "\nOther é words 😀. " and cleaned[0] == docs[0] and cleaned[4] is None
+    assert cleaned[1] == "\nOther é words 😀. " and cleaned[0] == docs[0] and cleaned[4] is None and cleaned[3] == "\n"
+    assert remove_units(df.withColumn("removed_spans", df.start), repeated_units(df)).columns == [*df.columns, "removed_spans"]
     assert repeated_units(df.where("false")).collect() == []
     again = frame(spark, [docs[0]]).unionByName(frame(spark, [docs[0]]))
     assert repeated_units(again).collect() == []

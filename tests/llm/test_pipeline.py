@@ -31,5 +31,5 @@ def test_each_stage_on_odd_tables(spark):
 
 
 def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert "pipeline" in __import__("__spark_entry__").queries()
