@@ -1,14 +1,17 @@
 """Personal data: patterns, and terms of the text that give protected values away.
 
-Values found by pattern are the protected entities. A term discloses an entity by their
+Values found by pattern are the protected entities. A term goes together with an entity
+where it stands within ``context`` characters of it. It discloses the entity by their
 pointwise mutual information over the corpus,
 
     PMI(t; e) = log(n_te * N / (n_t * n_e)),   IC(e) = log(N / n_e)
 
-in document counts. A term whose PMI reaches ``disclosure`` of the entity's information
-content IC(e) is masked in documents that hold the entity: it is generalised, or removed
-where it discloses all (PMI = IC). Everything is DataFrame expressions; counts by term and
-by (entity, term) are summed before they are shuffled.
+in document counts: n_te documents have the term beside the entity, n_t have it anywhere.
+A term whose PMI reaches ``disclosure`` of the entity's information content IC(e) is masked
+wherever it stands in documents that hold the entity: it is generalised to what its form
+says (a name, an acronym, a word), or removed where it discloses all (PMI = IC).
+Everything is DataFrame expressions; counts by term and by (entity, term) are summed before
+they are shuffled.
 """
 
 from __future__ import annotations
@@ -70,32 +73,38 @@ def _terms(text: Column, least: int) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= least)
 
 
+def _beside(context: int, least: int) -> Column:
+    """(entity, terms) of each find; words that the edge of the context cuts are left."""
+    before = f"substring(text, greatest(f.start - {context}, 0) + 1, least(f.start, {context}))"
+    before = f"IF(f.start > {context} AND substring(text, f.start - {context}, 1) rlike '\\\\p{{L}}', regexp_replace({before}, '^\\\\p{{L}}+', ''), {before})"
+    after = f"substring(text, f.end + 1, {context})"
+    after = f"IF(substring(text, f.end + {context} + 1, 1) rlike '\\\\p{{L}}', regexp_replace({after}, '\\\\p{{L}}+\\\\z', ''), {after})"
+    words = f"filter(array_distinct(split(lower(concat({before}, ' ', {after})), '[^\\\\p{{L}}]+')), w -> length(w) >= {least})"
+    return F.expr(f"transform(finds, f -> struct(lower(f.value) AS entity, {words} AS terms))")
+
+
 #: A term in more than one of this many documents has its count broadcast: there are at most as many
 #: of them as documents have distinct terms on average, times this.
 _COMMON = 1000
 
 
-def _ties(carriers: DataFrame, documents: DataFrame, disclosure: float, support: int, letters: int, total: int) -> DataFrame:
-    """(__text_key, copies, entity, n_e, term, n_t) of each text's entities and terms that may disclose them.
+def _ties(carriers: DataFrame, documents: DataFrame, disclosure: float, support: int, letters: int, context: int, total: int) -> DataFrame:
+    """(text_key, copies, entity, n_e, term, n_t) of each text's entities and the terms beside them that may disclose them.
 
     As n_te <= n_e, PMI reaches the share of IC only where n_t <= n_e (N / n_e)^(1 - share);
-    other terms are left before they meet the entities.
+    other terms are left before they are counted.
     """
-    held = carriers.select("__text_key", F.explode("entities").alias("entity"))
-    counted = held.groupBy("entity", "__text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
-    by_text = carriers.groupBy("__text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
-    entities = by_text.select("__text_key", F.explode("entities").alias("entity")).join(counted, "entity")
-    limits = entities.groupBy("__text_key").agg(F.max("n_e").alias("most"))
-    terms = by_text.join(limits, "__text_key").select("__text_key", "copies", "most", F.explode(_terms(F.col("text"), letters)).alias("term")).withColumn("term_hash", F.xxhash64("term"))
+    by_text = carriers.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("finds").alias("finds"))
+    beside = materialise(by_text.select("text_key", "copies", F.explode(_beside(context, letters)).alias("b")).select("text_key", "copies", "b.entity", F.col("b.terms").alias("terms")))
+    held = beside.select("text_key", "copies", "entity").distinct()
+    # written, so that the join can split the texts of a very common entity
+    entities = materialise(held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e"))
+    terms = beside.join(entities, "entity").select("text_key", "copies", "entity", "n_e", F.explode("terms").alias("term")).distinct().withColumn("term_hash", F.xxhash64("term"))
     words = documents.select(F.explode(_terms(F.col("text"), letters)).alias("term")).select(F.xxhash64("term").alias("term_hash")).groupBy("term_hash").agg(F.count("*").alias("n_t"))
     common = F.broadcast(words.where(F.col("n_t") > total / _COMMON))
-    rare = terms.join(common, "term_hash", "left_anti").join(words, "term_hash")
-
-    def within(n: str) -> Column:
-        return F.col("n_t") <= F.pow(F.col(n), F.lit(disclosure)) * float(total) ** (1 - disclosure) * (1 + 1e-9)
-
-    near = rare.unionByName(terms.join(common, "term_hash")).where(within("most")).select("__text_key", "copies", "term", "n_t")
-    return near.join(entities, "__text_key").where(within("n_e")).select("__text_key", "copies", "entity", "n_e", "term", "n_t")
+    met = terms.join(common, "term_hash", "left_anti").join(words, "term_hash").unionByName(terms.join(common, "term_hash"))
+    within = F.col("n_t") <= F.pow(F.col("n_e"), F.lit(disclosure)) * float(total) ** (1 - disclosure) * (1 + 1e-9)
+    return met.where(within).select("text_key", "copies", "entity", "n_e", "term", "n_t")
 
 
 def _disclosing(ties: DataFrame, disclosure: float, support: int, total: int) -> DataFrame:
@@ -106,43 +115,47 @@ def _disclosing(ties: DataFrame, disclosure: float, support: int, total: int) ->
     return pairs.withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
-def disclosing_terms(carriers: DataFrame, documents: DataFrame, *, disclosure: float = 0.8, support: int = 3, letters: int = 4) -> DataFrame:
-    """(entity, term, share) of terms that disclose an entity; share is PMI / IC.
-
-    ``carriers``: __text_key, text, entities (array<string>), one row a document with finds.
-    Counts are over all ``documents``. ``support`` is the different texts that an entity and
-    a pair need, ``letters`` the least of a term: with 1 and 1, as ``personal_data`` and
-    ``sanitise`` have them, no entity and no term is left out.
-    """
-    total = documents.count()
-    return _disclosing(_ties(carriers, documents, disclosure, support, letters, total), disclosure, support, total)
-
-
-def find_all(documents: DataFrame, *, keep_text: bool = False, disclosure: float = 0.8, support: int = 1, letters: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(rows, term spans). Rows: the documents' columns, __text_key and __finds; term spans: doc_id, __text_key, term_finds.
+def disclosing_terms(documents: DataFrame, *, disclosure: float = 0.8, support: int = 1, letters: int = 1, context: int = 80) -> DataFrame:
+    """(entity, term, share) of terms of ``documents`` (text) that disclose an entity; share is PMI / IC.
 
-    ``rows`` is a written table; its text column stays only with ``keep_text``.
+    ``support`` is the different texts that an entity and a pair need, ``letters`` the least
+    of a term: with 1 and 1 no entity and no term is left out.
     """
-    docs = documents.withColumn("__text_key", F.md5(text_of()))
-    found = find_base(docs)
-    carrier_text = F.when(F.size("__finds") > 0, text_of())
-    columns = [c for c in found.columns if keep_text or c != "text"]
-    rows = materialise(found.select(*columns, carrier_text.alias("__carrier")))
-    entities = F.array_distinct(F.transform("__finds", lambda f: F.lower(f["value"])))
-    carriers = rows.where("__carrier IS NOT NULL").select("doc_id", "__text_key", F.col("__carrier").alias("text"), entities.alias("entities"), "__finds")
+    rows = _found(documents.select(text_of().alias("text")))
     total = documents.count()
-    ties = materialise(_ties(carriers, documents.select(text_of().alias("text")), disclosure, support, letters, total))
-    # a text meets only the terms that it has itself
-    flagged = ties.join(_disclosing(ties, disclosure, support, total), ["entity", "term"]).groupBy("__text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("terms"))
-    texts = carriers.select("__text_key", "text", "__finds").dropDuplicates(["__text_key"]).join(flagged, "__text_key")
+    ties = _ties(rows.where("text IS NOT NULL"), documents.select(text_of().alias("text")), disclosure, support, letters, context, total)
+    return _disclosing(ties, disclosure, support, total)
+
+
+def _found(documents: DataFrame, *keep: str) -> DataFrame:
+    """A written table of ``row`` (a struct of the columns to keep, whatever their names), finds, and, where there are any, text and text_key."""
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("string")
+    found = find_base(documents.select(row.alias("row"), text_of().alias("text")), to="finds")
+    some = F.size("finds") > 0
+    return materialise(found.select("row", "finds", F.when(some, F.col("text")).alias("text"), F.when(some, F.md5("text")).alias("text_key")))
+
+
+def find_all(documents: DataFrame, *keep: str, disclosure: float = 0.8, support: int = 1, letters: int = 1, context: int = 80) -> DataFrame:
+    """row (a struct of the columns ``keep``), text, finds (base spans) and terms (spans of terms) of each document; text is null where there are no spans."""
+    rows = _found(documents, *keep)
+    carriers = rows.where("text IS NOT NULL")
+    total = rows.count()
+    ties = materialise(_ties(carriers, documents.select(text_of().alias("text")), disclosure, support, letters, context, total))
+    # a text meets only the terms of its own entities
+    flagged = ties.join(_disclosing(ties, disclosure, support, total), ["entity", "term"]).groupBy("text_key").agg(F.collect_set(F.struct("term", (F.col("share") >= 1 - 1e-9).alias("all"))).alias("found"))
+    texts = carriers.select("text_key", "text", "finds").dropDuplicates(["text_key"]).join(flagged, "text_key")
+    # a term in one pair may go and in another be generalised: it goes
+    texts = texts.withColumn("plain", F.transform("found", lambda t: t["term"])).withColumn("gone", F.transform(F.filter("found", lambda t: t["all"]), lambda t: t["term"]))
     marked = F.regexp_replace(F.translate("text", _MARK, chr(2)), rf"\p{{L}}{{{letters},}}", f"{_MARK}$0{_MARK}")
-    texts = texts.withColumn("__plain", F.transform("terms", lambda t: t["term"])).withColumn("__gone", F.transform(F.filter("terms", lambda t: t["all"]), lambda t: t["term"]))
-    texts = _with_pieces(texts, "__w", marked)
-    spans = texts.withColumn("term_finds", _finds("term", "__w", "__w_n", "__w_s", "array_contains(__plain, lower(v))"))
+    texts = _with_pieces(texts, "w", marked)
+    spans = texts.withColumn("terms", _finds("term", "w", "w_n", "w_s", "array_contains(plain, lower(v))"))
     # the words of a protected value go with it
-    spans = spans.withColumn("term_finds", F.expr("filter(term_finds, f -> NOT exists(__finds, b -> b.start < f.end AND f.start < b.end))"))
-    spans = spans.withColumn("term_finds", F.expr("transform(term_finds, f -> struct(IF(array_contains(__gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
-    return rows, carriers.select("doc_id", "__text_key").distinct().join(spans.select("__text_key", "term_finds"), "__text_key")
+    spans = spans.withColumn("terms", F.expr("filter(terms, f -> NOT exists(finds, b -> b.start < f.end AND f.start < b.end))"))
+    spans = spans.withColumn("terms", F.expr("transform(terms, f -> struct(IF(array_contains(gone, lower(f.value)), 'term-removed', 'term') AS kind, f.start AS start, f.end AS end, f.value AS value))"))
+    spans = materialise(spans.select("text_key", F.expr("concat(filter(terms, f -> f.kind = 'term'), filter(terms, f -> f.kind != 'term'))").alias("terms")))
+    none = F.expr(_NONE)
+    with_terms = carriers.join(spans, "text_key", "left").select("row", "text", "finds", F.coalesce("terms", none).alias("terms"))
+    return rows.where("text IS NULL").select("row", "text", "finds", none.alias("terms")).unionByName(with_terms)
 
 
 def _joined(finds: str) -> Column:
@@ -152,31 +165,33 @@ def _joined(finds: str) -> Column:
 def personal_data(documents: DataFrame, **how) -> DataFrame:
     """Spans of ``documents`` (doc_id, text), one row a row.
 
-    Null text: empty. Repeated rows give repeated rows. Columns of other names are not
-    read. An empty table gives no row. Spans: the base ones by kind and start, then terms by start; code points.
+    Null text: empty. Texts are read whole, however long. Repeated rows give repeated rows.
+    Columns of other names are not read. An empty table gives no row. Spans: the base ones by
+    kind and start, then terms that are generalised, then those removed, by start; code points.
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
     """
-    rows, terms = find_all(documents.select("doc_id", "text"), **how)
-    joined = rows.drop("__carrier").alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.__text_key") == F.col("t.__text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
-    counts = [F.expr(f"CAST(size(filter(__finds, f -> f.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in KINDS]
-    return joined.select("doc_id", *counts, F.sha2(_joined("__finds"), 256).alias("base_sha256"), _joined("concat(__finds, term_finds)").alias("spans"), F.size("term_finds").cast("long").alias("n_term"))
+    rows = find_all(documents, "doc_id", **how)
+    counts = [F.expr(f"CAST(size(filter(finds, f -> f.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in KINDS]
+    return rows.select("row.doc_id", *counts, F.sha2(_joined("finds"), 256).alias("base_sha256"), _joined("concat(finds, terms)").alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
 def sanitise(documents: DataFrame, **how) -> DataFrame:
-    """``documents`` with personal data masked in the text, all columns kept.
+    """``documents`` with personal data masked in the text, all columns kept, whatever their names.
 
-    A base span becomes its kind in brackets, a disclosing term ``[term]``, and one that
-    discloses all goes. Overlapping spans are masked as one, by the first's kind. Texts
-    without spans stay as they are, null included; no row goes.
+    A base span becomes its kind in brackets; a disclosing term becomes [name], [acronym] or
+    [word] by its form, and one that discloses all goes. Overlapping spans are masked as one,
+    by the first's kind. Texts without spans stay as they are, null included; no row goes.
     """
-    rows, terms = find_all(documents, keep_text=True, **how)
-    spans = rows.where("__carrier IS NOT NULL").drop("__carrier")
-    plain = rows.where("__carrier IS NULL").select(*documents.columns)
-    joined = spans.alias("r").join(terms.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.__text_key") == F.col("t.__text_key")), "left").select("r.*", F.coalesce("t.term_finds", F.expr(_NONE)).alias("term_finds"))
+    rows = find_all(documents, *documents.columns, **how)
     masked = F.expr("""
-        aggregate(array_sort(transform(concat(__finds, term_finds), f -> struct(f.start AS start, f.end AS end, f.kind AS kind))), struct(0 AS at, '' AS kept),
+        aggregate(array_sort(transform(concat(finds, terms), f -> struct(f.start AS start, f.end AS end, CASE f.kind
+                      WHEN 'term-removed' THEN '' WHEN 'term' THEN CASE
+                          WHEN length(f.value) > 1 AND f.value = upper(f.value) AND f.value != lower(f.value) THEN '[acronym]'
+                          WHEN left(f.value, 1) != lower(left(f.value, 1)) THEN '[name]' ELSE '[word]' END
+                      ELSE concat('[', f.kind, ']') END AS mask))), struct(0 AS at, '' AS kept),
                   (a, s) -> IF(s.start >= a.at,
-                               struct(s.end AS at, concat(a.kept, substring(text, a.at + 1, s.start - a.at), IF(s.kind = 'term-removed', '', concat('[', s.kind, ']'))) AS kept),
+                               struct(s.end AS at, concat(a.kept, substring(text, a.at + 1, s.start - a.at), s.mask) AS kept),
                                struct(greatest(a.at, s.end) AS at, a.kept AS kept)),
                   a -> concat(a.kept, substring(text, a.at + 1)))""")
-    return plain.unionByName(joined.withColumn("text", masked).select(*documents.columns))
+    columns = [F.col(f"row.`{c}`").alias(c) if c.lower() != "text" else F.when(F.col("text").isNull(), F.col(f"row.`{c}`")).otherwise(masked).alias(c) for c in documents.columns]
+    return rows.select(*columns)

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 from lawloom.llm.decontaminate import build_index, contaminated, fingerprints, keep_uncontaminated
-from lawloom.llm.licenses import NOTICES, scan_licenses, scorer
+from lawloom.llm.license_texts import NOTICES, TEXTS
+from lawloom.llm.licenses import find_notices, scan_licenses, scorer
 from lawloom.llm.pii import disclosing_terms, personal_data, sanitise
 
 
@@ -74,6 +75,11 @@ def test_contaminated(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     split = {(r.doc_id, r.item_id) for r in contaminated(d, b, part_items=7).collect()}
     assert split == set(want)
+    again = d.unionByName(d).unionByName(spark.createDataFrame([(None, items[8][1], 1.0)], d.schema))
+    found = [r.doc_id for r in contaminated(again, b).collect()]
+    assert all(found.count(k) == 2 * len([1 for i, _ in want if i == k]) for k, _ in want) and None in found
+    clash = d.withColumnRenamed("similarity", "item_id").selectExpr("*", "doc_id AS start", "text AS shingles")
+    assert keep_uncontaminated(clash, b).columns == clash.columns and keep_uncontaminated(clash, b).count() == kept.count()
     assert contaminated(d.where("false"), b).collect() == [] == contaminated(d, b.where("false")).collect()
     assert keep_uncontaminated(d, b.where("false")).count() == len(docs)
 
@@ -142,19 +148,30 @@ def disclosure_corpus():
     return docs
 
 
-def brute_terms(docs, disclosure=0.8, support=3, letters=4):
-    terms = [set(re.findall(rf"[^\W\d_]{{{letters},}}", d.lower())) for d in docs]
+def beside(text, start, end, context):
+    before, after = text[max(0, start - context) : start], text[end : end + context]
+    letter = lambda c: bool(re.match(r"[^\W\d_]", c))
+    if start > context and letter(text[start - context - 1]):
+        before = re.sub(r"^[^\W\d_]+", "", before)
+    if end + context < len(text) and letter(text[end + context]):
+        after = re.sub(r"[^\W\d_]+\Z", "", after)
+    return before + " " + after
+
+
+def brute_terms(docs, disclosure=0.8, support=1, letters=1, context=80):
+    word = rf"[^\W\d_]{{{letters},}}"
+    terms = [set(re.findall(word, d.lower())) for d in docs]
     n_t = Counter(t for s in terms for t in s)
-    held = defaultdict(list)
+    near = defaultdict(lambda: defaultdict(set))
     for i, d in enumerate(docs):
-        for e in {d[a:b].lower() for _, a, b in base(d)}:
-            held[e].append(i)
+        for _, a, b in base(d):
+            near[d[a:b].lower()][i] |= set(re.findall(word, beside(d, a, b, context).lower()))
     out = {}
-    for e, where in held.items():
+    for e, where in near.items():
         if len({docs[i] for i in where}) < support:
             continue
-        n_te = Counter(t for i in where for t in terms[i])
-        texts = Counter(t for d in {docs[i] for i in where} for t in set(re.findall(rf"[^\W\d_]{{{letters},}}", d.lower())))
+        n_te = Counter(t for s in where.values() for t in s)
+        texts = {t: len({docs[i] for i, s in where.items() if t in s}) for t in n_te}
         for t, n in n_te.items():
             share = math.log(n * len(docs) / (n_t[t] * len(where))) / math.log(len(docs) / len(where))
             if texts[t] >= support and share >= disclosure:
@@ -163,38 +180,55 @@ def brute_terms(docs, disclosure=0.8, support=3, letters=4):
 
 
 def test_disclosing_terms(spark):
-    from pyspark.sql import functions as F
-
     docs = disclosure_corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    rows = [(hashlib.md5(d.encode()).hexdigest(), d, sorted({d[a:b].lower() for _, a, b in base(d)})) for d in docs if base(d)]
-    carriers = spark.createDataFrame(rows, "__text_key string, text string, entities array<string>")
-    got = {(r.entity, r.term): r.share for r in disclosing_terms(carriers, df).collect()}
-    want = brute_terms(docs)
-    assert got.keys() == want.keys() and ("boss@corp.example", "quixotebury") in got and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for how in ({"support": 3, "letters": 4}, {}, {"context": 13}):
+        got = {(r.entity, r.term): r.share for r in disclosing_terms(df, **how).collect()}
+        want = brute_terms(docs, **how)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert (("boss@corp.example", "quixotebury") in got) == ("context" not in how) and ("boss@corp.example", "chairman") not in got
     spans = {r.doc_id: r for r in personal_data(df).collect()}
     at = docs[0].index("Quixotebury")
     assert f":{at}:{at + 11}" in spans[0].spans and spans[0].n_term >= 1 and spans[10].n_term == 0
-    clean = {r.doc_id: r.text for r in sanitise(df.withColumn("finds", F.lit(1))).collect()}
-    assert "[email]" in clean[0] and "Quixotebury" not in clean[0] and clean[10] == docs[10]
-    assert sanitise(df.withColumn("finds", F.lit(1))).columns == ["doc_id", "text", "finds"] and len(clean) == len(docs)
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = disclosure_corpus()
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    names = ["finds", "terms", "row", "text_key", "term_finds", "__carrier", "__finds", "__text_key", "with.dot", "total"]
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    clean = {r.doc_id: r for r in sanitise(df).collect()}
+    assert sanitise(df).columns == df.columns and len(clean) == len(docs)
+    assert all(r[name] == f"{name}{r.doc_id}" for r in clean.values() for name in names)
+    assert "[email]" in clean[0].text and "Quixotebury" not in clean[0].text and "chairman" in clean[0].text and clean[10].text == docs[10]
 
 
 def test_terms_of_rare_entities(spark):
-    docs = ["Mr Oz Quixotebury of the mill, solo@corp.example", "the twin Zanzibarton Ida Wu: +1 212 555 0100", "the twin Wu again +1 212 555 0100, solo2@corp.example", "Again Plainly the twin"] + [f"the weather of the mill {'again' if i % 2 else 'wu'}" for i in range(60)]
+    far = "far " * 40
+    docs = [f"Mr Oz Quixotebury of the mill, solo@corp.example {far} Lonesome Quixotebury", "the twin Zanzibarton Ida Wu ACME: +1 212 555 0100", "the twin Wu again +1 212 555 0100, solo2@corp.example", "Again Plainly the twin"]
+    docs += [f"the weather of the mill {'again' if i % 2 else 'wu'} far" for i in range(60)]
     docs += [docs[0]] * 2
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    want = brute_terms(docs, support=1, letters=1)
-    assert ("solo@corp.example", "oz") in want and ("+1 212 555 0100", "zanzibarton") in want and ("solo@corp.example", "the") not in want
+    want = brute_terms(docs)
+    assert ("solo@corp.example", "oz") in want and ("+1 212 555 0100", "zanzibarton") in want and ("solo@corp.example", "the") not in want and ("solo@corp.example", "lonesome") not in want
     got = {r.doc_id: r for r in personal_data(df).collect()}
     clean = {r.doc_id: r.text for r in sanitise(df).collect()}
     for i, d in enumerate(docs):
         inside = [(a, b) for _, a, b in base(d)]
-        terms = {t for e, t in want if e in {d[a:b].lower() for a, b in inside}}
-        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", d) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in inside)]
-        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")] == spans and got[i].n_term == len(spans)
+        own = {d[a:b].lower() for a, b in inside}
+        shares = defaultdict(float)
+        for (e, t), share in want.items():
+            if e in own:
+                shares[t] = max(shares[t], share)
+        spans = [("term" if shares[m[0].lower()] < 1 - 1e-9 else "term-removed", m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", d) if m[0].lower() in shares and not any(a < m.end() and m.start() < b for a, b in inside)]
+        assert got[i].spans.split(",")[len(inside) :] == [f"{k}:{a}:{b}" for k, a, b in sorted(spans)] or not got[i].spans and not spans
+        assert got[i].n_term == len(spans)
     assert got[0].n_term and got[0].n_term == got[64].n_term and got[1].n_term and clean[3] == docs[3]
-    assert clean[0] == clean[65] and "Quixotebury" not in clean[0] and "Oz" not in clean[0] and "mill" in clean[0] and "Zanzibarton" not in clean[1]
+    assert clean[0] == clean[65] and "Quixotebury" not in clean[0] and "Lonesome" in clean[0] and "mill" in clean[0] and "Zanzibarton" not in clean[1]
+    assert any("[" in c and ("[name]" in c or "[word]" in c or "[acronym]" in c) for c in clean.values())
 
 
 def test_sanitise_odd_texts(spark):
@@ -236,7 +270,7 @@ def test_licenses(spark):
 
 def test_lines_without_cues_are_never_similar():
     rng = random.Random(4)
-    by = scorer({"the": 90, "under": 60, "work": 50, "is": 80, "this": 70, "version": 20}, 100, NOTICES, 0.7)
+    by = scorer({"the": 90, "under": 60, "work": 50, "is": 80, "this": 70, "version": 20}, 100, NOTICES, TEXTS, 0.7)
     pool = sorted({w for t in NOTICES.values() for w in re.findall(r"[^\W_]+", t.lower())}) + ["other", "words"]
     for _ in range(5000):
         line = rng.choices(pool, k=rng.randint(1, 9))
@@ -246,5 +280,67 @@ def test_lines_without_cues_are_never_similar():
 
 @pytest.mark.parametrize("name", sorted(NOTICES))
 def test_each_notice_is_itself(name):
-    by = scorer({}, 10, NOTICES, 0.7)
+    by = scorer({}, 10, NOTICES, TEXTS, 0.7)
     assert by.similar(re.findall(r"[^\W_]+", NOTICES[name].lower())) == (name, 1.0) or abs(by.similar(re.findall(r"[^\W_]+", NOTICES[name].lower()))[1] - 1) < 1e-9
+
+
+def brute_cosine(words, other, weight):
+    a, b = Counter(words), Counter(other)
+    dot = sum(n * b[w] * weight(w) ** 2 for w, n in a.items())
+    norm = lambda c: math.sqrt(sum((n * weight(w)) ** 2 for w, n in c.items()))
+    return dot / (norm(a) * norm(b)) if a and b else 0.0
+
+
+def brute_licenses(texts, threshold=0.7):
+    """The best (licence, similarity) of each text, by all lines and all windows."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    df = Counter(w for t in texts for w in set(split(t)))
+    known = {w for t in [*NOTICES.values(), *(t for _, t in TEXTS)] for w in split(t)}
+    weight = lambda w: math.log((2 + len(texts)) / (1 + df[w])) if w in known else math.log(2 + len(texts))
+    out = []
+    for t in texts:
+        lines = [split(x) for x in t.split("\n")]
+        scored = [(brute_cosine(line, split(n), weight), name) for line in lines for name, n in NOTICES.items()]
+        for name, n in TEXTS:
+            size = len(split(n))
+            for i in range(len(lines)):
+                window = []
+                for line in lines[i:]:
+                    if len(window) >= size:
+                        break
+                    window += line
+                scored.append((brute_cosine(window, split(n), weight), name))
+        best = max((round(s, 9) for s, _ in scored), default=0.0)
+        out.append((min(name for s, name in scored if round(s, 9) == best), min(1.0, best)) if best >= threshold else (None, None))
+    return out
+
+
+def wrapped(text, width, mark="# "):
+    w = text.split(" ")
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(12)
+    pool = sorted({w for _, t in TEXTS for w in t.split(" ")}) + [f"word{i}" for i in range(60)]
+    texts = []
+    for i, (_, t) in enumerate(TEXTS):
+        w = t.split(" ")
+        for _ in range(i * 3):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        texts.append("import os\n" * (i % 3) + wrapped(" ".join(w), rng.randint(4, 15), "# " if i % 2 else " * ") + "\nrest = 1\nmore of the file" * (i % 4))
+    texts += ["\n".join(" ".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(20)) for _ in range(20)] + ["", "Released under the MIT License.", "\n".join([*NOTICES.values()])]
+    df = spark.createDataFrame([(f"d/{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path[2:]): (r.license, r.similarity) if r.origin == "own" else (None, None) for r in scan_licenses(df).collect()}
+    want = brute_licenses(texts)
+    assert [got[i][0] for i in range(len(texts))] == [name for name, _ in want]
+    assert all(w is None or abs(got[i][1] - w) < 1e-6 for i, (_, w) in enumerate(want))
+    assert sum(name is not None for name, _ in want) > len(TEXTS) // 2
+
+
+@pytest.mark.parametrize("name, text", TEXTS)
+def test_each_text_is_found_and_licenses_its_directory(name, text):
+    by = scorer({}, 50, NOTICES, TEXTS, 0.7)
+    found, _ = find_notices("Copyright 2020 Somebody\n\n" + wrapped(text, 9, "// "), by)
+    assert max(found, key=lambda f: (f[3], f[2]))[2] == name
+    assert find_notices(wrapped(text, 9, ""), by)[1]
