@@ -382,7 +382,7 @@ def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
-def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool = False, part_bytes: int = 24 << 20, bucket_anchors: int = 400_000, group_anchors: int = 40_000) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool = False, part_bytes: int = 24 << 20, bucket_anchors: int = 400_000, group_anchors: int = 4_000) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document of smaller doc_id.
 
     ``documents`` (doc_id, text): texts are UTF-8 bytes, null is empty. Matches don't cross
