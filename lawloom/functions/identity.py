@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,21 @@ def law_id(jurisdiction: Column, authority: Column, number_key: Column, source_k
     return F.when(whole, F.concat(F.lit("law_"), uuid5(sha256(payload), ID_NAMESPACE)))
 
 
+def with_law_id(df: DataFrame, to: str) -> DataFrame:
+    """``df`` with law_id() of its columns in ``to``; it is computed once for each law, not for each row."""
+    parts = ["jurisdiction", "authority", "law_number_key", "source_law_key"]
+    ids = df.select(*(F.col(c).alias(f"law_{c}") for c in parts)).distinct().withColumn(to, law_id(*(F.col(f"law_{c}") for c in parts)))
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"law_{c}"))
+    return df.drop(to).join(ids, same, "left").drop(*(f"law_{c}" for c in parts))
+
+
+def blank(value: Column) -> Column:
+    """Whether nothing is left of a text after normalization: it is all white space."""
+    return value.rlike(r"^[\p{Z}\t-\r\x1c-\x1f\x{85}]*\z")
+
+
 def node_id(law: Column, locator: Column) -> Column:
     """``law`` as law_id() makes it, and an ASCII ``locator``."""
     payload = canonical_json({"law_id": law, "locator": normalized(locator, ascii_only=True)})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import hex_digest
-from ..functions.identity import law_id, node_id, valid_locator, version_id
+from ..functions.identity import blank, node_id, valid_locator, version_id, with_law_id
 from ..schema import CHILDREN, LAYER_OF, RELATIONS
 
 _COLUMNS = ("file", "code", "subject", "detail")
@@ -30,6 +30,9 @@ def row_checks(nodes: DataFrame) -> DataFrame:
     """Checks that need one node only. ``nodes`` has own_law: the recomputed law_id, null where identity fails."""
     s = lambda k: F.col(f"source.{k}")
     recomputed = nodes.withColumn("__node", node_id(F.col("law_id"), F.col("locator"))).withColumn("__version", version_id())
+    missing = F.lit(False)
+    for c in (F.col("jurisdiction"), F.col("authority"), F.col("locator"), F.col("text"), s("uri"), s("adapter")):
+        missing = missing | c.isNull()
     strings = F.array(*(F.coalesce(c, F.lit("")) for c in (F.col("jurisdiction"), F.col("authority"), F.col("locator"), F.col("text"), s("uri"), s("adapter"), s("source_key"), F.col("label"), F.col("heading"))))
     begins, ends = s("byte_start"), s("byte_end")
     root = F.col("parent_id").isNull()
@@ -43,7 +46,8 @@ def row_checks(nodes: DataFrame) -> DataFrame:
         "SOURCE_SHA256": ~hex_digest(s("sha256")),
         "SOURCE_RANGE": (begins.isNull() != ends.isNull()) | F.coalesce((begins < 0) | (begins > ends), F.lit(False)),
         "SOURCE_PAGE": ~_positive(s("page")),
-        "NUL_FORBIDDEN": F.exists(strings, lambda t: F.contains(t, F.lit("\0"))),
+        "STRING_TYPE": missing,
+        "NUL_FORBIDDEN": ~missing & F.exists(strings, lambda t: F.contains(t, F.lit("\0"))),
         "ROOT_KIND": root & (F.col("kind") != "law"),
         "ROOT_DEPTH": root & (F.col("depth") != 0),
         "PARENT_DEPTH": ~root & (F.col("depth") <= 0),
@@ -53,7 +57,7 @@ def row_checks(nodes: DataFrame) -> DataFrame:
     found = recomputed.where("own_law IS NOT NULL").select("file", "node_id", "locator", F.explode(codes).alias("code"))
     detail = F.when(F.col("code") == "LOCATOR_GRAMMAR", F.col("locator")).otherwise("")
     failed = nodes.where("own_law IS NULL")
-    empty_place = (F.length(F.trim("jurisdiction")) == 0) | (F.length(F.trim("authority")) == 0)
+    empty_place = F.coalesce(blank(F.col("jurisdiction")), F.lit(True)) | F.coalesce(blank(F.col("authority")), F.lit(True))
     reason = F.when(empty_place, "jurisdiction and authority must be nonempty after normalization").when(F.col("law_number_key").isNotNull(), "law_number_key is supplied but empty after normalization").otherwise("source_law_key is required and nonempty after normalization")
     return found.select("file", "code", F.col("node_id").alias("subject"), detail.alias("detail")).unionByName(_rows(failed, "IDENTITY_NORMALIZED", detail=reason))
 
@@ -136,11 +140,15 @@ def ancestry(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     step = first.join(known, ["file", "next"], "left").select("file", "at", F.when(F.col("there"), F.col("next")).alias("next"), F.when(F.col("next").isNull(), "root").when(F.col("there").isNull(), "gap").alias("end"))
     step = materialise(step)
     size = step.count()
+    done, open_ = step.where("end IS NOT NULL"), step.where("end IS NULL")
     for _ in range(max(1, size.bit_length()) + 1):
-        if step.where("end IS NULL").isEmpty():
+        if open_.isEmpty():
             break
-        far = step.select("file", F.col("at").alias("next"), F.col("next").alias("far"), F.col("end").alias("far_end"))
-        step = materialise(step.join(far, ["file", "next"], "left").select("file", "at", F.when(F.col("end").isNull(), F.col("far")).alias("next"), F.coalesce("end", "far_end").alias("end")))
+        # only what still climbs is joined and written again
+        far = done.unionByName(open_).select("file", F.col("at").alias("next"), F.col("next").alias("far"), F.col("end").alias("far_end"))
+        moved = materialise(open_.join(far, ["file", "next"], "left").select("file", "at", F.col("far").alias("next"), F.col("far_end").alias("end")))
+        done, open_ = done.unionByName(moved.where("end IS NOT NULL")), moved.where("end IS NULL")
+    step = done.unionByName(open_)
     ends = step.select("file", F.col("at").alias("parent_id"), F.coalesce("end", F.lit("cycle")).alias("end"))
     # a node's own row starts the walk: it may differ from the first version of its node
     own = nodes.where("parent_id IS NOT NULL").select("file", "node_id", "parent_id").join(ends, ["file", "parent_id"], "left").withColumn("end", F.coalesce("end", F.lit("gap")))
@@ -181,7 +189,7 @@ def diagnose(nodes: DataFrame, crosswalk: DataFrame | None = None, corpora: Data
     from ..tables import materialise
 
     # nine plans read the nodes: what they are made from, and their recomputed law, is computed once
-    nodes = materialise(nodes.withColumn("own_law", law_id(F.col("jurisdiction"), F.col("authority"), F.col("law_number_key"), F.col("source_law_key"))))
+    nodes = materialise(with_law_id(nodes, "own_law"))
     fine = nodes.where("own_law IS NOT NULL")
     found = [row_checks(nodes), duplicate_versions(fine), duplicate_locators(fine), temporal_overlaps(fine), identity_drifts(fine), parent_checks(nodes, fine), root_counts(nodes), ancestry(nodes, fine)]
     if crosswalk is not None:

@@ -18,9 +18,13 @@ def climb(edges: DataFrame) -> DataFrame:
     step = edges.join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("next"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.col("parent").isNull().alias("is_root"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("lost"))
     step = materialise(step.select("node", "next", "depth", F.when(F.col("is_root"), F.col("node")).alias("root"), "lost"))
     rounds = step.count().bit_length() + 1
+    done, open_ = step.where("next IS NULL"), step.where("next IS NOT NULL")
     for _ in range(rounds):
-        if step.where("next IS NOT NULL").isEmpty():
+        if open_.isEmpty():
             break
-        far = step.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("lost").alias("l2"))
-        step = materialise(step.join(far, "next", "left").select("node", F.col("n2").alias("next"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("root", "r2").alias("root"), (F.col("lost") | F.coalesce("l2", F.lit(False))).alias("lost")))
+        # only what still climbs is joined and written again
+        far = done.unionByName(open_).select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("lost").alias("l2"))
+        moved = materialise(open_.join(far, "next", "left").select("node", F.col("n2").alias("next"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("root", "r2").alias("root"), (F.col("lost") | F.coalesce("l2", F.lit(False))).alias("lost")))
+        done, open_ = done.unionByName(moved.where("next IS NULL")), moved.where("next IS NOT NULL")
+    step = done.unionByName(open_)
     return step.select("node", F.when(~F.col("lost") & F.col("next").isNull(), F.col("root")).alias("root"), "depth")

@@ -21,6 +21,7 @@ from ..functions.identity import segment
 from ..profile import DEFAULT, SOURCE_AUTHORITY, SOURCE_FORMAT, Profile
 from ..schema import PAIRS, SOURCE, TEMPORAL
 from ..tables import materialise
+from .law_parser import MAX_BYTES
 
 RECORD = (
     "file string, sha256 string, size long, type string, diagnostic string, law_id string, input_kind string, authority string, law_number string, enveloped_date string, era array<string>, "
@@ -54,12 +55,18 @@ class Adapted:
     version: str = "1"
 
 
-def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(file, content, size) of the files below a path; a file is named by its path."""
+def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None, limit: int = MAX_BYTES) -> DataFrame:
+    """(file, content, size) of the files below a path; a file is named by its path.
+
+    Files over ``limit`` bytes are listed with their size and not read: their content is null.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("path").alias("file"), "content", F.col("length").alias("size"))
+    found = reader.load(path)
+    named = [F.col("path").alias("file"), "content", F.col("length").alias("size")]
+    large = found.where(F.col("length") > limit).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    return found.where(F.col("length") <= limit).select(*named).unionByName(large.select(*named))
 
 
 def _records(schema: pa.Schema, files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +75,11 @@ def _records(schema: pa.Schema, files: Iterator[pa.RecordBatch]) -> Iterator[pa.
     from .law_parser import records
 
     for batch in files:
-        for file, content, given in zip(batch.column("file").to_pylist(), batch.column("content"), batch.column("given_law_id").to_pylist(), strict=True):
+        for file, content, given, size in zip(*(batch.column(c) for c in ("file", "content", "given_law_id", "size")), strict=True):
+            file, given, size = file.as_py(), given.as_py(), size.as_py()
+            if size is not None and size > MAX_BYTES:
+                yield pa.RecordBatch.from_pylist([{"file": file, "size": size, "type": "file", "diagnostic": "EGOV_XML_INPUT_TOO_LARGE"}], schema=schema)
+                continue
             raw = content.as_buffer().to_pybytes() if content.is_valid else b""
             facts = {"file": file, "sha256": hashlib.sha256(raw).hexdigest(), "size": len(raw)}
             rows = [facts | r for r in records(raw, given)]
@@ -77,7 +88,7 @@ def _records(schema: pa.Schema, files: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def parse_laws(files: DataFrame, law_ids: DataFrame | str | None = None) -> DataFrame:
-    """Records (RECORD) of ``files`` (file, content). ``law_ids``: one id for all, or a table (file, law_id)."""
+    """Records (RECORD) of ``files`` (file, content, and size where it is known). ``law_ids``: one id for all, or a table (file, law_id)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if isinstance(law_ids, DataFrame):
@@ -89,7 +100,8 @@ def parse_laws(files: DataFrame, law_ids: DataFrame | str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _records(schema, batches)
 
-    return files.select("file", "content", "given_law_id").mapInArrow(run, RECORD)
+    size = F.col("size").cast("long") if "size" in files.columns else F.octet_length("content").cast("long")
+    return files.select("file", "content", "given_law_id", size.alias("size")).mapInArrow(run, RECORD)
 
 
 def bare_date(era: str = "era") -> F.Column:
@@ -176,14 +188,14 @@ def law_nodes(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def adapt_laws(files: DataFrame, law_ids: DataFrame | str | None = None, profile: Profile = DEFAULT) -> Adapted:
     """Admit and adapt ``files`` (file, content); refused ones are in ``failures``."""
-    from ..functions.identity import law_id, node_id, parent_locator
+    from ..functions.identity import node_id, parent_locator, with_law_id
 
     records = materialise(parse_laws(files, law_ids))
     reports = admissions(records, profile)
     nodes = law_nodes(records, profile)
     above = parent_locator(F.col("locator"))
-    own_law = law_id(F.col("jurisdiction"), F.col("authority"), F.col("law_number_key"), F.col("source_law_key"))
-    nodes = materialise(nodes.withColumn("parent_id", F.when(above.isNotNull(), node_id(own_law, above))))
+    lawed = with_law_id(materialise(nodes), "law_id")
+    nodes = materialise(lawed.withColumn("parent_id", F.when(above.isNotNull(), node_id(F.col("law_id"), above))).drop("law_id"))
     accepted = reports.where("accepted")
     inputs = accepted.select("file", F.lit("source").alias("role"), content_uri(F.col("source_sha256"), profile.content_uri_prefix).alias("uri"), F.col("source_sha256").alias("sha256"))
     failures = reports.where("NOT accepted").select("file", F.col("diagnostics")[0].alias("diagnostic"))
