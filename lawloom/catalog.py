@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions.canonical import canonical_json, content_uri, content_uri_digest, sha256
 from .functions.identity import law_id, node_id, segment, valid_locator, version_id
 from .operators import diagnostics as D
-from .operators.textscan import paragraphs, scan_lines
+from .operators.textscan import PATTERNS, paragraphs, scan_lines
+from .operators.counts import corpus_counts, differences, kind_histogram, unordered
 from .operators.trees import climb
 from .plans.compile import digests, identify, lines, project
 from .profile import DEFAULT, ID_NAMESPACE
@@ -77,8 +78,9 @@ def q_content_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def q_dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("sha256"))
-    return d.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    d = table(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("doc_id").alias("pos"), sha256(F.col("text")).alias("version_id"))
+    twice = D.duplicate_versions(d).select(F.col("subject").alias("version_id"))
+    return d.join(twice, "version_id").groupBy(F.col("version_id").alias("sha256")).agg(F.count("*").alias("n"), F.min("pos").alias("first_doc"))
 
 
 _LAW_SQL = "concat('law_', " + uuid5_sql("""sha256(concat('{"authority":"', lower(r_name), '","jurisdiction":"world","key":"', n_name, '","key_kind":"law_number"}'))""") + ")"
@@ -147,8 +149,10 @@ def q_tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
 def q_parent_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey").join(o, "l_orderkey", "left_anti").distinct()
+    same = [F.lit("f").alias("file"), F.lit("l").alias("law_id"), F.lit(1).alias("depth"), F.lit("article").alias("kind"), F.expr(NO_TIME).alias("temporal")]
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pos"), text("l_orderkey").alias("node_id"), text("l_orderkey").alias("parent_id"), *same)
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(text("o_orderkey").alias("node_id"), *same)
+    return D.parent_checks(items, o).where("code = 'PARENT_MISSING'").select(F.col("subject").cast("long").alias("l_orderkey")).distinct()
 
 
 _KIND_SQL = "CASE {c} % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'paragraph' ELSE 'cell' END"
@@ -235,8 +239,8 @@ def q_ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS nodes, count(DISTINCT lang) AS laws, count(DISTINCT sha256(text)) AS versions FROM documents GROUP BY source")
 def q_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "lang", sha256(F.col("text")).alias("s"))
-    return d.groupBy("source").agg(F.count("*").alias("nodes"), F.count_distinct("lang").alias("laws"), F.count_distinct("s").alias("versions"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("lang").alias("law_id"), sha256(F.col("text")).alias("version_id"))
+    return corpus_counts(d).select(F.col("file").alias("source"), "nodes", "laws", "versions")
 
 
 @query("SELECT event_id, concat('{\"event_id\":', event_id, ',\"event_type\":\"', event_type, '\",\"props\":\"', replace(replace(props, '\\', '\\\\'), '\"', '\\\"'), '\",\"user_id\":', user_id, '}') AS line FROM events")
@@ -248,35 +252,40 @@ def q_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
 def q_lineage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    declared = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("source").distinct()
-    return d.join(declared, "source", "left_anti").select("doc_id")
+    from .plans.store import foreign_sources
+
+    inputs = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(F.lit("f").alias("file"), F.lit("source").alias("role"), F.col("source").alias("uri"), F.col("source").alias("sha256")).distinct()
+    nodes = d.select("doc_id", F.lit("f").alias("file"), F.struct(F.col("source").alias("uri"), F.col("source").alias("sha256")).alias("source"))
+    foreign = foreign_sources(nodes, inputs).select("uri")
+    return nodes.select("doc_id", F.col("source.uri").alias("uri")).join(foreign, "uri").select("doc_id")
 
 
 @query(f"WITH {_TREE_SQL} SELECT substr(node, 1, 1) AS kind, count(*) AS n FROM tree GROUP BY 1")
 def q_kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade_tree(spark, sf_dir).groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    nodes = _trade_tree(spark, sf_dir).select(F.lit("f").alias("file"), F.substring("node", 1, 1).alias("kind"))
+    return kind_histogram(nodes).select("kind", "n")
 
 
 @query("SELECT 'missing' AS side, o_custkey AS custkey FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer) UNION ALL SELECT 'extra', c_custkey FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders)")
 def q_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
-    return o.exceptAll(c).select(F.lit("missing").alias("side"), "custkey").unionByName(c.exceptAll(o).select(F.lit("extra").alias("side"), "custkey"))
+    return differences(c, o)
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before >= value")
 def q_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), "value")
+    return unordered(e, "value").select(F.col("file").alias("user_id"), F.col("pos").alias("event_id"))
 
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "value", before.alias("before")).where("before >= value").select("user_id", "event_id")
 
+def _scan_sql(patterns: dict[str, str]) -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, '{rule}' AS rule, unnest(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}')) AS found FROM l" for rule, p in patterns.items())
+    return f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) {each}"
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, 'email' AS rule, unnest(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS found FROM l""")
-def q_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.textscan import PATTERNS
 
-    return scan_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", {"email": PATTERNS["email"]})
+@query(_scan_sql(PATTERNS))
+def q_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM (SELECT doc_id, replace(text, '. ', concat('.', chr(10), chr(10))) AS t FROM documents)),
@@ -300,7 +309,9 @@ def q_page_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_versions_by_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.concat(F.lit("L-"), text("o_custkey")).alias("law"), F.concat(F.lit("/law/root/article/article-"), text(F.col("o_orderkey") % 3)).alias("locator"), "o_orderstatus")
-    return rows.groupBy("law", "locator").agg(F.count("*").alias("versions"), F.count_distinct("o_orderstatus").alias("k")).where("k > 1").drop("k")
+    nodes = rows.select(F.lit("f").alias("file"), F.col("law").alias("law_id"), "locator", F.col("o_orderstatus").alias("node_id"), F.hash("o_orderstatus").cast("long").alias("pos"))
+    shared = D.duplicate_locators(nodes.withColumn("node_id", F.concat("law_id", F.lit("|"), "node_id"))).select(F.substring_index("subject", "|", 1).alias("law"), F.col("detail").alias("locator")).distinct()
+    return rows.join(shared, ["law", "locator"]).groupBy("law", "locator").agg(F.count("*").alias("versions"))
 
 
 _CUSTOMER_LAW = "concat('law_', " + uuid5_sql("""sha256(concat('{"authority":"law","jurisdiction":"test","key":"', o_custkey, '","key_kind":"source_law"}'))""") + ")"
@@ -330,3 +341,6 @@ def q_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = parent_locator(F.col("locator"))
     nodes = nodes.withColumn("parent_id", F.when(above.isNotNull(), node_id(F.col("law_id"), above)))
     return D.with_layer(D.diagnose(nodes)).drop("file")
+
+
+from . import catalog_sources  # noqa: E402, F401  more queries, which register themselves
