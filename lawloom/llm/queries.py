@@ -113,6 +113,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 10 == 0, "COPYING").otherwise("text")
     path = F.concat_ws("/", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat_ws(".", name, F.col("doc_id").cast("string")))
     scanned = scan_licenses(read_table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    scanned = scanned.withColumn("similarity", F.round("similarity", 9))  # sums of another order differ in the last digits
     return scanned.withColumn("doc_id", F.substring_index("path", ".", -1).cast("long"))
 
 
@@ -152,3 +153,92 @@ c AS (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents WH
 keep AS (SELECT doc_id, i, text[i + 1:i + 1] AS x FROM c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = c.doc_id AND c.i >= g.a AND c.i < g.b))
 SELECT d.doc_id, coalesce((SELECT string_agg(x, '' ORDER BY i) FROM keep k WHERE k.doc_id = d.doc_id), '') AS text, CAST((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS INTEGER) AS n_spans
 FROM (SELECT DISTINCT doc_id FROM gone) d"""
+
+ORACLES["op7_suffix_dedup"] = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, n, k, substr(h, 2 * k + 1, 2 * 549) AS h FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2, 500)) AS k FROM t)),
+w AS (SELECT doc_id, k + j AS i, substr(h, 2 * j + 1, 2) AS byte, CASE WHEN k + j <= n - 50 THEN substr(h, 2 * j + 1, 100) END AS string FROM (SELECT doc_id, n, k, h, unnest(range(0, least(500, n - k))) AS j FROM b)),
+f AS (SELECT string, min(doc_id) AS least FROM w WHERE string IS NOT NULL GROUP BY 1),
+c AS (SELECT w.doc_id, w.i, w.byte, coalesce(max(CASE WHEN w.doc_id > f.least THEN w.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i), -50) >= w.i - 49 AS gone FROM w LEFT JOIN f ON f.string = w.string),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY 1)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t LEFT JOIN s ON s.doc_id = t.doc_id"""
+
+_L = r"\p{L}"
+_BASE_SQL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _found_sql(kind: str, rank: int) -> str:
+    marked = f"string_split(regexp_replace(text, '{_BASE_SQL[kind]}', concat(chr(1), '\\0', chr(1)), 'g'), chr(1))"
+    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, unnest({marked}) AS v, unnest(range(0, len({marked}))) AS i FROM d"
+
+
+_DIGITS_SQL = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS_SQL})), lambda i: CASE WHEN i % 2 = 0 THEN TRY_CAST(reverse({_DIGITS_SQL})[i + 1:i + 1] AS INTEGER) ELSE TRY_CAST(reverse({_DIGITS_SQL})[i + 1:i + 1] AS INTEGER) * 2 - 9 * CAST(TRY_CAST(reverse({_DIGITS_SQL})[i + 1:i + 1] AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0"
+
+
+def _split_sql(text: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace(lower({text}), '[^{_L}]+', ' ', 'g'), ' '), lambda w: w != ''))"
+
+
+ORACLES["op10_pii"] = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents),
+pieces AS ({' UNION ALL '.join(_found_sql(kind, rank) for rank, kind in enumerate(_BASE_SQL))}),
+placed AS (SELECT *, sum(length(v)) OVER (PARTITION BY doc_id, rank ORDER BY i) - length(v) AS a FROM pieces),
+base AS (SELECT doc_id, rank, kind, v, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b FROM placed WHERE i % 2 = 1 AND CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT), 256) > 255)) = 0
+WHEN 'card' THEN length({_DIGITS_SQL}) BETWEEN 13 AND 19 AND {_LUHN} ELSE length({_DIGITS_SQL}) BETWEEN 9 AND 15 END),
+ctx AS (SELECT base.doc_id, lower(v) AS entity, substr(text, CAST(greatest(a - 80, 0) AS BIGINT) + 1, CAST(least(a, 80) AS BIGINT)) AS l, a > 80 AND regexp_full_match(substr(text, a - 80, 1), '{_L}') AS lcut, substr(text, b + 1, 80) AS r, regexp_full_match(substr(text, b + 81, 1), '{_L}') AS rcut FROM base JOIN d ON d.doc_id = base.doc_id),
+beside AS (SELECT doc_id, entity, {_split_sql(f"concat(CASE WHEN lcut THEN regexp_replace(l, '^{_L}+', '') ELSE l END, ' ', CASE WHEN rcut THEN regexp_replace(r, '{_L}+$', '') ELSE r END)")} AS terms FROM ctx),
+pair AS (SELECT DISTINCT doc_id, entity, term FROM (SELECT doc_id, entity, unnest(terms) AS term FROM beside)),
+n AS (SELECT count(*) AS total FROM d), ne AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM ctx GROUP BY 1),
+nt AS (SELECT term, count(*) AS n_t FROM (SELECT unnest({_split_sql("text")}) AS term FROM d) GROUP BY 1),
+share AS (SELECT entity, term, CASE WHEN n_e < total THEN ln(count(*) * total / (n_t * n_e)) / ln(total / n_e) ELSE 0 END AS share FROM pair JOIN ne USING (entity) JOIN nt USING (term), n GROUP BY entity, term, n_e, n_t, total),
+flag AS (SELECT doc_id, term, bool_or(share >= 1 - 1e-9) AS gone FROM pair JOIN share USING (entity, term) WHERE share >= 0.8 - 1e-12 GROUP BY 1, 2),
+marked AS (SELECT doc_id, string_split(regexp_replace(text, '{_L}+', concat(chr(1), '\\0', chr(1)), 'g'), chr(1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM flag)),
+word AS (SELECT *, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS a FROM (SELECT doc_id, unnest(p) AS v, unnest(range(0, len(p))) AS i FROM marked)),
+term AS (SELECT word.doc_id, CASE WHEN gone THEN 5 ELSE 4 END AS rank, CASE WHEN gone THEN 'term-removed' ELSE 'term' END AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b FROM word JOIN flag ON flag.doc_id = word.doc_id AND flag.term = lower(v)
+WHERE i % 2 = 1 AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = word.doc_id AND base.a < word.a + length(word.v) AND word.a < base.b)),
+spans AS (SELECT doc_id, rank, kind, a, b FROM base UNION ALL SELECT doc_id, rank, kind, a, b FROM term),
+told AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_email, count(*) FILTER (WHERE rank = 1) AS n_ip, count(*) FILTER (WHERE rank = 2) AS n_card, count(*) FILTER (WHERE rank = 3) AS n_phone, count(*) FILTER (WHERE rank > 3) AS n_term,
+string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY rank, a) FILTER (WHERE rank < 4) AS base, string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY rank, a) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN told ON told.doc_id = d.doc_id"""
+
+
+def _licenses_sql() -> str:
+    from .license_texts import NOTICES, TEXTS
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    sides = [("line", name, t) for name, t in sorted(NOTICES.items())] + [("text", name, t) for name, t in TEXTS]
+    values = ", ".join(f"({k}, '{kind}', '{name}', {quoted(t)})" for k, (kind, name, t) in enumerate(sides))
+    words = lambda t: f"list_filter(string_split(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w != '')"
+    return f"""WITH d AS (SELECT doc_id, concat(doc_id // 1000, '/', doc_id // 100) AS dir, doc_id % 10 = 0 AS named, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, {words("line")} AS w FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM d)),
+tok AS (SELECT doc_id, i, unnest(w) AS word FROM l),
+t AS (SELECT * FROM (VALUES {values}) AS t(k, kind, license, text)),
+tw AS (SELECT k, word, count(*) AS m FROM (SELECT k, unnest({words("text")}) AS word FROM t) GROUP BY 1, 2),
+n AS (SELECT count(*) AS files FROM d),
+idf AS (SELECT a.word, ln((2 + files) / (1 + coalesce(df, 0))) AS idf FROM (SELECT DISTINCT word FROM tw) a LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1) b ON a.word = b.word, n),
+tv AS (SELECT k, tw.word, m * idf AS x FROM tw JOIN idf ON idf.word = tw.word),
+tn AS (SELECT t.k, kind, license, sqrt((SELECT sum(x * x) FROM tv WHERE tv.k = t.k)) AS size, (SELECT sum(m) FROM tw WHERE tw.k = t.k) AS words FROM t),
+cum AS (SELECT doc_id, i, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS before, count(*) OVER (PARTITION BY doc_id) AS n_lines FROM l),
+maybe AS (SELECT doc_id, tv.k FROM (SELECT DISTINCT doc_id, word FROM tok) a JOIN tv ON tv.word = a.word JOIN tn ON tn.k = tv.k GROUP BY doc_id, tv.k, size HAVING sum(x * x) >= 0.49 * size * size * 0.999),
+starts AS (SELECT DISTINCT tok.doc_id, tok.i, maybe.k FROM tok JOIN maybe ON maybe.doc_id = tok.doc_id JOIN tv ON tv.k = maybe.k AND tv.word = tok.word),
+u AS (SELECT s.doc_id, s.i, s.k, s.i + 1 AS j FROM starts s JOIN tn ON tn.k = s.k AND kind = 'line'
+UNION ALL SELECT s.doc_id, s.i, s.k, coalesce(min(e.i), any_value(c.n_lines)) FROM starts s JOIN tn ON tn.k = s.k AND kind = 'text' JOIN cum c ON c.doc_id = s.doc_id AND c.i = s.i LEFT JOIN cum e ON e.doc_id = s.doc_id AND e.before >= c.before + words GROUP BY s.doc_id, s.i, s.k),
+uw AS (SELECT u.doc_id, u.i, u.k, u.j, word, count(*) AS c FROM u JOIN tok ON tok.doc_id = u.doc_id AND tok.i >= u.i AND tok.i < u.j GROUP BY 1, 2, 3, 4, 5),
+scored AS (SELECT uw.doc_id, uw.i, uw.j, uw.k, round(sum(c * coalesce(idf, 0) * coalesce(x, 0)) / (sqrt(sum((c * coalesce(idf, ln(2 + files))) ** 2)) * any_value(size)), 9) AS score, any_value(license) AS license, any_value(kind) AS kind
+FROM uw JOIN tn ON tn.k = uw.k LEFT JOIN idf ON idf.word = uw.word LEFT JOIN tv ON tv.k = uw.k AND tv.word = uw.word, n GROUP BY 1, 2, 3, 4),
+hit AS (SELECT * FROM scored WHERE score >= 0.7), found AS (SELECT doc_id, i, j, license, score FROM hit WHERE kind = 'line' QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY score DESC, license) = 1
+UNION ALL SELECT doc_id, i, j, license, score FROM hit WHERE kind = 'text' QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY score DESC, i) = 1),
+best AS (SELECT doc_id, count(*) AS n_notices, arg_min(license, {{'s': -score, 'l': license}}) AS license, max(score) AS similarity FROM found GROUP BY 1),
+bare AS (SELECT DISTINCT doc_id FROM l WHERE len(w) > 0 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = l.doc_id AND l.i >= f.i AND l.i < f.j)),
+file AS (SELECT d.doc_id, dir, named, license, similarity, coalesce(n_notices, 0) AS n_notices, license IS NOT NULL AND (named OR d.doc_id NOT IN (SELECT doc_id FROM bare)) AS gives FROM d LEFT JOIN best ON best.doc_id = d.doc_id),
+lic AS (SELECT dir AS above, arg_min(license, {{'s': -similarity, 'l': license}}) AS dir_license, max(similarity) AS dir_similarity FROM file WHERE gives GROUP BY 1)
+SELECT doc_id, concat(dir, '/', CASE WHEN named THEN 'COPYING' ELSE 'text' END, '.', doc_id) AS path, coalesce(license, dir_license) AS license, coalesce(similarity, dir_similarity) AS similarity, CAST(n_notices AS INTEGER) AS n_notices,
+CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN license IS NOT NULL THEN dir ELSE above END AS license_dir FROM file LEFT JOIN lic ON above = dir"""
+
+
+ORACLES["op3_licenses"] = _licenses_sql()
