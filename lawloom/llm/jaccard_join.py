@@ -275,7 +275,7 @@ def forest_links(reps: DataFrame, *, threshold: float, trees: int, depth: int, r
     return links, shortest
 
 
-def similar_documents(documents: DataFrame, *, threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9999, node_docs: int = 4096, block_docs: int = 512, block_shingles: int = 400_000) -> DataFrame:
+def similar_documents(documents: DataFrame, *, threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9999, node_docs: int = 1024, block_docs: int = 512, block_shingles: int = 400_000) -> DataFrame:
     """One row a document of ``documents`` (doc_id, text): its class, links and copy.
 
     Returns doc_id, class_id (least doc_id of its group: documents tied by links, copies
