@@ -83,9 +83,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .decontaminate import contaminated
 
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 9))  # sums of another order differ in the last digits
 
 
 @query
@@ -242,3 +245,32 @@ CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inhe
 
 
 ORACLES["op3_licenses"] = _licenses_sql()
+
+
+def _placed_words(table: str, key: str) -> str:
+    """(key, word, j, a, b): the words of each text with their places in code points, for DuckDB."""
+    marked = "string_split(regexp_replace(text, '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+', concat(chr(1), '\\0', chr(1)), 'g'), chr(1))"
+    pieces = f"SELECT {key}, unnest({marked}) AS v, unnest(range(0, len({marked}))) AS i FROM (SELECT {key}, translate(coalesce(text, ''), chr(1), chr(2)) AS text FROM {table})"
+    placed = f"SELECT {key}, i, v, sum(length(v)) OVER (PARTITION BY {key} ORDER BY i) AS b FROM ({pieces})"
+    return f"SELECT {key}, lower(v) AS word, i // 2 AS j, CAST(b - length(v) AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM ({placed}) WHERE i % 2 = 1"
+
+
+def _shingled(words: str, key: str) -> str:
+    """(key, j, shingle, n): five words in a row, or all of a text of fewer."""
+    lists = f"SELECT {key}, list(word ORDER BY j) AS w FROM {words} GROUP BY 1"
+    return f"SELECT {key}, j, array_to_string(w[j + 1:j + 5], ' ') AS shingle, len(w) AS n FROM (SELECT {key}, w, unnest(range(0, greatest(len(w) - 4, 1))) AS j FROM ({lists}))"
+
+
+ORACLES["op1_decontamination"] = f"""WITH dw AS ({_placed_words("documents", "doc_id")}), iw AS ({_placed_words("benchmark", "item_id")}),
+ds AS ({_shingled("dw", "doc_id")}), si AS ({_shingled("iw", "item_id")}),
+bag AS (SELECT item_id, shingle, count(*) AS m, any_value(n) AS n FROM si GROUP BY 1, 2),
+weigh AS (SELECT shingle, 1 / (1 + ln(count(*))) AS w FROM bag GROUP BY 1),
+item AS (SELECT item_id, sum(w * m) AS total, any_value(n) AS n FROM bag JOIN weigh USING (shingle) GROUP BY 1),
+doc AS (SELECT doc_id, count(*) AS n_shingles, any_value(n) AS n FROM ds GROUP BY 1),
+hit AS (SELECT ds.doc_id, bag.item_id, ds.j, least(greatest(bag.n - 4, 1), n_shingles) AS span, n_shingles FROM ds JOIN bag ON bag.shingle = ds.shingle JOIN doc ON doc.doc_id = ds.doc_id),
+win AS (SELECT DISTINCT doc_id, item_id, span, p FROM (SELECT doc_id, item_id, span, unnest(range(greatest(j - span + 1, 0), least(j, n_shingles - span) + 1)) AS p FROM hit)),
+own AS (SELECT win.doc_id, item_id, p, shingle, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.j >= p AND ds.j < p + span GROUP BY 1, 2, 3, 4),
+sums AS (SELECT own.doc_id, own.item_id, p, sum(coalesce(w, 1) * c) AS here, sum(coalesce(w, 0) * least(c, coalesce(m, 0))) AS common FROM own LEFT JOIN weigh ON weigh.shingle = own.shingle LEFT JOIN bag ON bag.item_id = own.item_id AND bag.shingle = own.shingle GROUP BY 1, 2, 3),
+scored AS (SELECT doc_id, item_id, p, round(common / (here + total - common), 9) AS similarity, item.n AS size FROM sums JOIN item USING (item_id)),
+best AS (SELECT * FROM scored WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, p) = 1)
+SELECT best.doc_id, best.item_id, similarity, f.a AS start, l.b AS "end" FROM best JOIN doc ON doc.doc_id = best.doc_id JOIN dw f ON f.doc_id = best.doc_id AND f.j = p JOIN dw l ON l.doc_id = best.doc_id AND l.j = least(p + size, doc.n) - 1"""
