@@ -1,9 +1,11 @@
 """Best-fit packing of documents into sequences of bounded length, in a tree of rounds.
 
 Pieces are dealt to tasks by hash, a bounded number to each. A task packs its items
-best-fit, longest first, and emits bins that are full or nearly so. Underfull bins go
-on as items: fewer tasks take them, pack them best-fit, and so on, until one task's
-share holds all that is left, or a round joins nothing any more.
+best-fit, longest first, and emits bins that are full or nearly so. No two bins of a task
+fit together, so at most one of each is half full or less, and a fuller one can only be
+joined with one of these. So the bins half full or less, and as many of the emptiest
+others as could take them, go on as items to fewer tasks, which pack them best-fit, and
+so on, until one task's share holds all that is left, or a round joins nothing.
 """
 
 from __future__ import annotations
@@ -108,12 +110,22 @@ def pack_sequences(pieces: DataFrame, *, size: int = 2048, slack: int = 8, share
         parts = max(1, -(-n // share))
         dealt = left.withColumn("key", F.xxhash64(F.lit(turn), "doc_ids", "crcs"))
         out = materialise(dealt.repartition(parts, "key").mapInArrow(partial(_pack, size=size, slack=slack), BINS))
-        kept = out.where("done") if parts > 1 else out
-        full.append(kept)
-        left = out.where("NOT done").drop("done")
-        was, n, turn = n, left.count() if parts > 1 else 0, turn + 1
-        if n and n >= was:  # a whole round has joined nothing
-            full.append(out.where("NOT done"))
+        if parts == 1:
+            full.append(out)
+            break
+        full.append(out.where("done"))
+        was, turn, open_ = n, turn + 1, out.where("NOT done").drop("done")
+        # one row a fill: at most ``size``
+        told = sorted((r["fill"], r["n"]) for r in open_.groupBy("fill").agg(F.count("*").alias("n")).collect())
+        small = sum(k for fill, k in told if 2 * fill <= size)
+        to, mates = size // 2, 0
+        for fill, k in told:
+            if 2 * fill > size and mates < small:
+                to, mates = fill, mates + k
+        left, n = open_.where(F.col("fill") <= to), small + mates
+        full.append(open_.where(F.col("fill") > to))
+        if small == 0 or n >= was:
+            full.append(left)
             break
     bins = None
     for f in full:
