@@ -71,6 +71,9 @@ def test_contaminated(spark):
     text = dict(docs)
     exact = next(k for k in want if want[k] == 1.0 and k[0] < 120)
     assert words(text[exact[0]][got[exact].start : got[exact].end]) == words(dict(items)[exact[1]])
+    twice = spark.createDataFrame([(1, f"Head of it {items[8][1]} between the two {items[8][1]}")], "doc_id long, text string")
+    first = contaminated(twice, b).where("item_id = 8").first()
+    assert (first.start, first.end, first.similarity) == (11, 11 + len(items[8][1]), 1.0)
     kept = keep_uncontaminated(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     split = {(r.doc_id, r.item_id) for r in contaminated(d, b, part_items=7).collect()}
