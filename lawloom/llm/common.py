@@ -17,11 +17,16 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = "8m"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; both sides of a Python worker's pipe then hold small batches of its texts."""
+def small_batches(spark: SparkSession) -> None:
+    """Both sides of a Python worker's pipe hold small batches, unless the session says how large."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in (None, "67108864", "67108864b", "64m"):
         spark.conf.set(key, BATCH_BYTES)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, in small batches (a setting of the session)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -126,11 +131,28 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of word bytes starts and ends (exclusive); no run passes a row's bounds."""
+    n = len(data)
+    inside = WORD_BYTE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[: n - 1]
+    at = offsets[:-1][offsets[:-1] < n]
+    first[at] = inside[at]
+    last = inside.copy()
+    last[: n - 1] &= ~inside[1:n]
+    last[at[at > 0] - 1] = inside[at[at > 0] - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class Words:
     """Words of a slice of texts: hash, byte range and row of each, in order.
 
-    A word is a run of ASCII letters, digits or non-ASCII characters, lower-cased
-    by Arrow before it is hashed; punctuation and white space part words.
+    A word is a run of ASCII letters, digits or non-ASCII characters, lower-cased by
+    Arrow letter by letter before it is hashed; punctuation and white space part words.
+    ``starts`` and ``ends`` are places in the text; ``at`` and ``to`` in the folded text,
+    which differ after a letter whose lower case has another number of bytes. Such a
+    letter stays a word character, so both texts have the same words.
     """
 
     def __init__(self, array: pa.Array):
@@ -138,26 +160,14 @@ class Words:
 
         raw, self.offsets = text_bytes(array)
         folded, ends = text_bytes(pc.utf8_lower(array))
-        if len(folded) != len(raw) or not np.array_equal(ends, self.offsets):  # a few letters change length
-            folded = raw.copy()
-            upper = (folded >= 65) & (folded <= 90)
-            folded[upper] += 32
         n = len(folded)
-        inside = np.zeros(n + 1, bool)
-        inside[:n] = WORD_BYTE[folded]
-        first = inside[:n].copy()
-        first[1:] &= ~inside[: n - 1]
-        at = self.offsets[:-1][self.offsets[:-1] < n]
-        first[at] = inside[at]
-        last = inside[:n].copy()
-        last[: n - 1] &= ~inside[1:n]
-        last[at[at > 0] - 1] = inside[at[at > 0] - 1]
-        self.starts = np.flatnonzero(first)
-        self.ends = np.flatnonzero(last) + 1
+        self.at, self.to = word_runs(folded, ends)
+        same = len(raw) == n and np.array_equal(ends, self.offsets)
+        self.starts, self.ends = (self.at, self.to) if same else word_runs(raw, self.offsets)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
         inverse = powers(n + 1, pow(_PRIME, -1, 1 << 64))
-        self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        self.hashes = mix((total[self.to] - total[self.at]) * inverse[self.at] + (self.to - self.at).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.folded = folded
