@@ -274,3 +274,63 @@ sums AS (SELECT own.doc_id, own.item_id, p, sum(coalesce(w, 1) * c) AS here, sum
 scored AS (SELECT doc_id, item_id, p, round(common / (here + total - common), 9) AS similarity, item.n AS size FROM sums JOIN item USING (item_id)),
 best AS (SELECT * FROM scored WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, p) = 1)
 SELECT best.doc_id, best.item_id, similarity, f.a AS start, l.b AS "end" FROM best JOIN doc ON doc.doc_id = best.doc_id JOIN dw f ON f.doc_id = best.doc_id AND f.j = p JOIN dw l ON l.doc_id = best.doc_id AND l.j = least(p + size, doc.n) - 1"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"), least=100, longest=5, percent=100, top=2000)
+
+
+@query
+def op12_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .harmonic import pack_harmonic
+
+    return pack_harmonic(read_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), size=1024, end_id=0)
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .elkan import cluster_vectors
+
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64)
+
+
+def _collocations_sql(least: int = 100, longest: int = 5, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {m} AS m, unnest(list_transform(range(1, len(w) - {m} + 2), lambda i: array_to_string(w[i:i + {m - 1}], ' '))) AS phrase FROM w WHERE len(w) >= {m}" for m in range(1, longest + 1))
+    inner = " UNION ALL ".join(f"SELECT lang, a, array_to_string(p[i:i + {s - 1}], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - {s} + 2)) AS i FROM cand WHERE m > {s})" for s in range(2, longest))
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM ({grams}) GROUP BY 1, 2, 3 HAVING count(*) >= {least}),
+cand AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST((1000 * CAST(c.a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * CAST(y.a AS HUGEINT)) AS BIGINT) AS score, CAST(n AS BIGINT) AS n
+FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN n ON n.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM ({inner}) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 100 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= {top}"""
+
+
+ORACLES["op11_collocations"] = _collocations_sql()
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT vec_id, v, j, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM e, c{r}),
+a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, {dims + 1})) AS i FROM a{r}) GROUP BY 1, 2),
+m{r} AS (SELECT j, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.j = c{r}.j)""")
+    return f"""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = {dims} AND len(embedding) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id))) - 1 AS j, v AS c FROM e QUALIFY j < {k}),
+{", ".join(steps)}
+SELECT vec_id, CAST(a{rounds}.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = a{rounds}.j"""
+
+
+ORACLES["op13_centroids"] = _centroids_sql()
