@@ -162,7 +162,7 @@ class Words:
         folded, ends = text_bytes(pc.utf8_lower(array))
         n = len(folded)
         self.at, self.to = word_runs(folded, ends)
-        same = len(raw) == n and np.array_equal(ends, self.offsets)
+        same = len(raw) == n and np.array_equal(raw & 0xC0 == 0x80, folded & 0xC0 == 0x80)  # each letter where it was
         self.starts, self.ends = (self.at, self.to) if same else word_runs(raw, self.offsets)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
