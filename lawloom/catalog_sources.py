@@ -433,7 +433,7 @@ def q_faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import shared_dir
 
     files = corpus_files(compile_sources(adapt_json(_nation_trees(spark, sf_dir))))
-    files = files.unionByName(table(spark, sf_dir, "nation").where(f"n_nationkey % {len(_LINE_FAULTS)} = 8").select(F.concat(F.lit("n"), text("n_nationkey"), F.lit("/crosswalk.json")).alias("path"), F.lit("").alias("content")))
+    files = files.unionByName(table(spark, sf_dir, "nation").where(f"n_nationkey % {len(_LINE_FAULTS)} = 8").select(F.concat(F.lit("n"), text("n_nationkey"), F.lit("/crosswalk.json")).alias("path"), F.lit("").alias("content")), allowMissingColumns=True)
     k, name = F.regexp_extract("path", "^n(\\d+)/", 1).cast("int"), F.substring_index("path", "/", -1)
     changed = F.col("content")
     for i, (file, value, _) in enumerate(_LINE_FAULTS):
@@ -553,3 +553,47 @@ def q_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(bundle).select(at.alias("at"))
     parts = files.groupBy(F.regexp_extract("at", "^([^/]+)", 1).alias("part")).agg(F.count("*").alias("n"))
     return parts.unionByName(spark.createDataFrame([("verified", told["nodes"]), ("linked", linked)], "part string, n long"))
+
+
+_STRANGER = "x"
+_BUNDLE_FAULTS = (
+    (None, None, None), ("BUNDLE_MANIFEST", "manifest.json", "'{'"), ("BUNDLE_MANIFEST_SHAPE", "manifest.json", "replace(t, '\"profile\":', '\"profiles\":')"), ("BUNDLE_MANIFEST_TAMPERED", "index.md", "concat(t, ' ')"),
+    ("BUNDLE_CANONICAL_TAMPERED", "manifest.json", "regexp_replace(t, '\"canonical_corpus_sha256\":\"[0-9a-f]+', concat('\"canonical_corpus_sha256\":\"', repeat('0', 64)))"),
+    ("BUNDLE_RIGHTS_MISMATCH", "manifest.json", "replace(t, '\"schema\":\"lawloom-bundle/v1\"', '\"rights\":{\"source_license\":\"x\"},\"schema\":\"lawloom-bundle/v2\"')"),
+    ("BUNDLE_FILE_SET: extra source/stranger.md", "manifest.json", f"replace(t, '],\"profile\"', concat(',{{\"path\":\"source/stranger.md\",\"sha256\":\"', sha2('{_STRANGER}', 256), '\"}}],\"profile\"'))"),
+)
+
+
+def nation_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a law of each nation that has suppliers, with an article for each."""
+    piece = F.expr("""concat('<Article Num="', s_suppkey + 1, '"><ArticleTitle>', s_name, '</ArticleTitle></Article>')""")
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", piece.alias("piece")))), lambda x: x["piece"]), "").alias("articles"))
+    law = F.concat(F.lit('<Law LawId="L'), text("s_nationkey"), F.lit('" LawType="Act"><LawNum>1</LawNum><LawBody><LawTitle>T</LawTitle><MainProvision>'), "articles", F.lit("</MainProvision></LawBody></Law>"))
+    return rows.select(F.concat(F.lit("n"), text("s_nationkey")).alias("file"), F.encode(law, "UTF-8").alias("content"))
+
+
+@query(f"""SELECT concat('n', s_nationkey) AS bundle, 2 + count(*) AS pages, CASE s_nationkey % {len(_BUNDLE_FAULTS)} {' '.join(f"WHEN {i} THEN '{code}'" for i, (code, _, _) in enumerate(_BUNDLE_FAULTS) if code)} END AS code FROM supplier GROUP BY s_nationkey""")
+def q_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of all nations' laws made in one plan, changed by key, written and verified: pages, and the first code that speaks against each, or null."""
+    from .plans.bundle import bundle_files, verify_bundles
+    from .plans.compile import compile_sources
+    from .plans.store import write_corpora, write_files
+    from .sources.law_xml import adapt_laws
+    from .tables import materialise, shared_dir
+
+    laws = materialise(nation_laws(spark, sf_dir))
+    corpora, out = shared_dir(spark), shared_dir(spark)
+    write_corpora(compile_sources(adapt_laws(laws), converted_at="2026-01-01T00:00:00Z"), corpora)
+    files, _ = bundle_files(spark, corpora, laws)
+    k = F.regexp_extract("file", "n(\\d+)\\z", 1).cast("int")
+    changed = F.col("content")
+    for i, (_, path, value) in enumerate(_BUNDLE_FAULTS):
+        if path is not None:
+            new = F.expr(value.replace("(t,", "(cast(content as string),"))
+            changed = F.when((k % len(_BUNDLE_FAULTS) == i) & (F.col("path") == path), new.cast("binary")).otherwise(changed)
+    name = F.concat(F.lit("n"), k.cast("string"))
+    made = files.select(F.concat(name, F.lit("/"), "path").alias("path"), "part", changed.alias("content"))
+    strange = files.where((k % len(_BUNDLE_FAULTS) == len(_BUNDLE_FAULTS) - 1) & (F.col("path") == "index.md")).select(F.concat(name, F.lit("/source/stranger.md")).alias("path"), F.lit(_STRANGER).cast("binary").alias("content")).distinct()
+    write_files(made.unionByName(strange, allowMissingColumns=True), out)
+    pages = files.where("path LIKE 'source/%'").groupBy(name.alias("bundle")).agg(F.count("*").alias("pages"))
+    return pages.join(verify_bundles(spark, out).select(F.substring_index("file", "/", -1).alias("bundle"), "code"), "bundle")
