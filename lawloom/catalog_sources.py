@@ -14,7 +14,7 @@ from .functions.canonical import hex_digest
 from .functions.identity import valid_locator
 from .operators import constraints as C
 from .operators import diagnostics as D
-from .profile import CANONICALIZATION, DEFAULT
+from .profile import CANONICALIZATION, DEFAULT, SOURCE_AUTHORITY, SOURCE_FORMAT
 from .schema import SOURCE, TEMPORAL
 
 # ---------------------------------------------------------------- files made of the tables
@@ -597,3 +597,100 @@ def q_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_files(made.unionByName(strange, allowMissingColumns=True), out)
     pages = files.where("path LIKE 'source/%'").groupBy(name.alias("bundle")).agg(F.count("*").alias("pages"))
     return pages.join(verify_bundles(spark, out).select(F.substring_index("file", "/", -1).alias("bundle"), "code"), "bundle")
+
+
+# ---------------------------------------------------------------- recipes, crosswalks and manifests of every version
+
+
+def _own_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content, mapping, k): a file of XML rows of each supplier, in words of its own that only its own mapping knows."""
+    xml = F.expr("""concat('<f><r', s_suppkey, '><j>J</j><a>A</a><s>S', s_suppkey, '</s><l>root</l><k>law</k><d>0</d><t', s_suppkey, '>', s_name, '</t', s_suppkey, '></r', s_suppkey, '></f>')""")
+    fields = F.expr("""concat('{"fields":{"authority":"a","depth":{"path":"d","type":"int"},"jurisdiction":"j","kind":"k","locator":"l","source_law_key":"s","text":"t', s_suppkey, '"},"row":"r', s_suppkey, '"}')""")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), text("s_suppkey")).alias("file"), F.encode(xml, "UTF-8").alias("content"), fields.alias("mapping"), F.col("s_suppkey").alias("k"))
+
+
+@query("""SELECT concat('s', s_suppkey) AS corpus, CASE s_suppkey % 5 WHEN 1 THEN 'MANIFEST_REPLAY_SOURCE_MISMATCH' WHEN 2 THEN 'MANIFEST_INPUT_UNAVAILABLE' WHEN 3 THEN 'MANIFEST_REBUILD_FAILED' WHEN 4 THEN 'MANIFEST_JSON' END AS code FROM supplier""")
+def q_replayed_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpora of as many mappings as suppliers, compiled, written and compiled anew in one plan: other bytes, no source, a mapping that finds nothing, and no manifest, by key."""
+    from .plans.compile import compile_sources
+    from .plans.store import corpus_files, replay, write_files
+    from .sources.tree import adapt_xml
+    from .tables import materialise, shared_dir
+
+    rows = materialise(_own_rows(spark, sf_dir))
+    files = corpus_files(compile_sources(adapt_xml(rows), mapping=rows.select("file", "mapping"), check=False))
+    k = F.regexp_extract("path", "^s(\\d+)/", 1).cast("long")
+    here = F.substring_index("path", "/", -1) == "manifest.json"
+    changed = F.when(here & (k % 5 == 3), F.regexp_replace("content", '"path":"d","type":"int"', '"path":"d","type":"date"')).when(here & (k % 5 == 4), "[").otherwise(F.col("content"))
+    out = shared_dir(spark)
+    write_files(files.withColumn("content", changed), out)
+    given = rows.where("k % 5 != 2").select(F.col("file").alias("corpus"), F.when(F.col("k") % 5 == 1, F.lit(b"<f/>")).otherwise(F.col("content")).alias("content"))
+    return replay(spark, out, given).select(F.substring_index("file", "/", -1).alias("corpus"), "code")
+
+
+@query("""SELECT concat('s', s_suppkey) AS corpus, CASE s_suppkey % 4 WHEN 1 THEN 'ARTIFACT_NOT_CANONICAL' WHEN 2 THEN 'PROJECTION_DERIVATION_MISMATCH' WHEN 3 THEN 'ARTIFACT_NOT_CANONICAL' END AS code FROM supplier""")
+def q_noncanonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpora whose digests agree with their manifests but whose lines are spaced otherwise, reordered, or projected from another text."""
+    from .plans.compile import compile_sources
+    from .plans.store import corpus_files, verify_corpora, write_files
+    from .sources.tree import adapt_json
+    from .tables import materialise, shared_dir
+
+    json = F.expr("""concat('{"authority":"Law","jurisdiction":"Test","nodes":[{"children":[{"kind":"article","locator":"a","ordinal":1,"text":"customer"}],"kind":"law","locator":"root","text":"', s_name, '"}],"source_law_key":"', s_suppkey, '"}')""")
+    trees = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), text("s_suppkey")).alias("file"), F.encode(json, "UTF-8").alias("content"))
+    files = corpus_files(compile_sources(adapt_json(trees), check=False))
+    k, name = F.regexp_extract("path", "^s(\\d+)/", 1).cast("long"), F.substring_index("path", "/", -1)
+    turned = F.concat(F.array_join(F.reverse(F.split(F.rtrim("content"), "\n")), "\n"), F.lit("\n"))
+    changed = F.when((k % 4 == 1) & (name == "corpus.jsonl"), F.replace("content", F.lit(',"branch"'), F.lit(', "branch"'))).when((k % 4 == 2) & (name == "projection.jsonl"), F.replace("content", F.lit("customer"), F.lit("Customer")))
+    changed = materialise(files.withColumn("content", changed.when((k % 4 == 3) & (name == "corpus.jsonl"), turned).otherwise(F.col("content"))))
+    sums = changed.where(name.isin("corpus.jsonl", "projection.jsonl")).groupBy(k.alias("k")).agg(*(F.max(F.when(name == f"{n}.jsonl", F.sha2("content", 256))).alias(n) for n in ("corpus", "projection")))
+    told = changed.withColumn("k", k).join(sums, "k")
+    stated = F.regexp_replace(F.regexp_replace("content", F.lit('"corpus_sha256":"[0-9a-f]+"'), F.concat(F.lit('"corpus_sha256":"'), "corpus", F.lit('"'))), F.lit('"projection_sha256":"[0-9a-f]+"'), F.concat(F.lit('"projection_sha256":"'), "projection", F.lit('"')))
+    out = shared_dir(spark)
+    write_files(told.select("path", "part", F.when(name == "manifest.json", stated).otherwise(F.col("content")).alias("content")), out)
+    return verify_corpora(spark, out).select(F.substring_index("file", "/", -1).alias("corpus"), "code")
+
+
+@query(f"""WITH {_COMPILED}, x AS (SELECT file, locator, concat('{{"legacy_id":"old', locator, '","reason":"moved","relation":"exact","source_sha256":"', sha, '","target_node_id":"', node_id, '","target_version_id":"', version_id, '"}}') AS line FROM ver WHERE kind IN ('law', 'article')),
+g AS (SELECT file, count(*) AS n, sha256(string_agg(concat(line, chr(10)), '' ORDER BY locator)) AS sha FROM x GROUP BY 1)
+SELECT x.file, line, CAST(n AS BIGINT) AS n, g.sha AS crosswalk_sha256 FROM x JOIN g ON g.file = x.file""")
+def q_crosswalk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crosswalks to laws and articles, moved to the versions that carry the build's fingerprint: canonical lines, their number and digest."""
+    from dataclasses import replace
+
+    from .plans.compile import compile_sources, identify
+    from .sources.tree import adapt_json
+
+    adapted = adapt_json(customer_trees(spark, sf_dir))
+    old = identify(adapted.nodes).where("kind IN ('law', 'article')")
+    crosswalk = old.select("file", "pos", F.concat(F.lit("old"), "locator").alias("legacy_id"), F.col("node_id").alias("target_node_id"), F.col("version_id").alias("target_version_id"), F.lit("exact").alias("relation"), F.lit("moved").alias("reason"), F.col("source.sha256").alias("source_sha256"))
+    compiled = compile_sources(replace(adapted, crosswalk=crosswalk), check=False)
+    told = compiled.manifest.select("file", F.get_json_object("manifest", "$.crosswalk_count").cast("long").alias("n"), F.get_json_object("manifest", "$.crosswalk_sha256").alias("crosswalk_sha256"))
+    return compiled.crosswalk_lines().select("file", "line").join(told, "file")
+
+
+_RIGHTS = {"bundle_license": None, "commercial_use_allowed": False, "redistribution_allowed": True, "source_license": "terms"}
+_RIGHTS_JSON = '{"bundle_license":null,"commercial_use_allowed":false,"redistribution_allowed":true,"source_license":"terms"}'
+_CONVERSION_JSON = '{"name":"lawloom","profile":"lawloom/0.1","version":"0.1"}'
+
+
+@query(f"""WITH s AS (SELECT s_nationkey AS k, concat('<Law LawId="L', s_nationkey, '" LawType="Act"><LawNum>1</LawNum><LawBody><LawTitle>T</LawTitle><MainProvision>', string_agg(concat('<Article Num="', s_suppkey + 1, '"><ArticleTitle>', s_name, '</ArticleTitle></Article>'), '' ORDER BY s_suppkey), '</MainProvision></LawBody></Law>') AS xml, count(*) AS n FROM supplier GROUP BY 1),
+h AS (SELECT *, sha256(xml) AS sha FROM s),
+p AS (SELECT *, concat('{{"as_of":null,"law_number":"1","official_law_id":"L', k, '","requested_law_id":null,"retrieved_at":null,"rights":null,"schema":"{DEFAULT.acquisition_schema}","sha256":"', sha, '","source_authority":"{SOURCE_AUTHORITY}","source_format":"{SOURCE_FORMAT}","source_url":null}}') AS acquisition, {_INPUTS} AS inputs FROM h),
+o AS (SELECT *, concat('{{"acquisition":', acquisition, ',"adapter":"egov_xml","adapter_version":"1","build_recipe":{{"adapter":"egov_xml","mapping":null}},"canonicalization":"{CANONICALIZATION}","conversion":{_CONVERSION_JSON},"hierarchy_status":"full","inputs":', inputs, ',"required_input_roles":["source"]', CASE WHEN k % 2 = 1 THEN ',"rights":{_RIGHTS_JSON}' ELSE '' END, '}}') AS options FROM p)
+SELECT concat('n', k) AS file, CASE WHEN k % 2 = 1 THEN '{DEFAULT.manifest_rights}' ELSE '{DEFAULT.manifest_acquired}' END AS schema, acquisition, '{_CONVERSION_JSON}' AS conversion, '2026-01-01T00:00:00Z' AS converted_at, CASE WHEN k % 2 = 1 THEN '{_RIGHTS_JSON}' END AS rights, inputs, 2 + n AS nodes, sha256(options) AS build_options_sha256 FROM o""")
+def q_acquired_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of laws with receipts, every second one with rights: both versions, and the digest of their options."""
+    from .plans.compile import compile_sources
+    from .sources.law_xml import adapt_laws
+    from .tables import materialise
+
+    laws = materialise(nation_laws(spark, sf_dir))
+    out = None
+    for odd, rights in ((0, None), (1, _RIGHTS)):
+        some = laws.where(f"cast(substring(file, 2) as int) % 2 = {odd}")
+        m = compile_sources(adapt_laws(some), converted_at="2026-01-01T00:00:00Z", rights=rights, check=False).manifest
+        part = lambda k: F.get_json_object("manifest", f"$.{k}").alias(k)
+        told = m.select("file", *map(part, ("schema", "acquisition", "conversion", "converted_at", "rights", "inputs")), F.get_json_object("manifest", "$.node_count").cast("long").alias("nodes"), part("build_options_sha256"))
+        out = told if out is None else out.unionByName(told)
+    return out
