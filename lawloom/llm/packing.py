@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of bounded length, in a tree of rounds.
 
-Pieces are dealt to tasks by hash, a bounded number to each. A task packs its items
+Pieces are dealt to tasks by a hash of their place, a bounded number to each. A task packs its items
 best-fit, longest first, and emits bins that are full or nearly so. No two bins of a task
 fit together, so at most one of each is half full or less, and a fuller one can only be
 joined with one of these. So the bins half full or less, and as many of the emptiest
@@ -108,7 +108,7 @@ def pack_sequences(pieces: DataFrame, *, size: int = 2048, slack: int = 8, share
     turn = 0
     while n:
         parts = max(1, -(-n // share))
-        dealt = left.withColumn("key", F.xxhash64(F.lit(turn), "doc_ids", "crcs"))
+        dealt = left.withColumn("key", F.xxhash64(F.lit(turn), F.monotonically_increasing_id()))  # by place, so equal rows spread
         out = materialise(dealt.repartition(parts, "key").mapInArrow(partial(_pack, size=size, slack=slack), BINS))
         if parts == 1:
             full.append(out)

@@ -154,3 +154,24 @@ def test_packing_where_nothing_fits(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     n, _ = check_packing(pack_documents(df, vocabulary_file("byte_bpe_50k.json"), size=256, share=10).collect(), docs, 256)
     assert n == 60
+
+
+def test_equal_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Thousands of equal pieces: no task of a round gets more than a few times its share."""
+    import lawloom.llm.packing as packing
+
+    rows = [(None, 0, 0, 7, 5)] * 3000
+    pieces = packing.materialise(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4))
+    seen = []
+    real = packing.materialise
+
+    def spy(df):
+        out = real(df)
+        if "done" in df.columns:
+            seen.append(out.selectExpr("size(doc_ids) AS n", "input_file_name() AS f").groupBy("f").sum("n").collect())
+        return out
+
+    monkeypatch.setattr(packing, "materialise", spy)
+    placed = packing.pack_sequences(pieces, size=64, share=100)
+    assert placed.count() == 3000 and placed.select("sequence_id").distinct().count() <= -(-3000 // 9) + 30
+    assert len(seen[0]) > 20 and max(r["sum(n)"] for r in seen[0]) < 400
