@@ -694,3 +694,33 @@ def q_acquired_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = m.select("file", *map(part, ("schema", "acquisition", "conversion", "converted_at", "rights", "inputs")), F.get_json_object("manifest", "$.node_count").cast("long").alias("nodes"), part("build_options_sha256"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+# ---------------------------------------------------------------- citations and pattern tables
+
+
+@query(r"""WITH d AS (SELECT concat('d', doc_id, '.md') AS path, concat(coalesce(text, ''), chr(10), 'see `src/m', doc_id % 9, '.py` `f', doc_id % 5, CASE WHEN doc_id % 2 = 0 THEN '()' ELSE '' END, '` and `src/../m.py` `x`', CASE WHEN doc_id % 4 = 0 THEN ' and a/m.py:12-14' ELSE '' END) AS t FROM documents),
+l AS (SELECT path, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM d),
+c AS (SELECT path, line_no, unnest(regexp_extract_all(line, '`((?:src|tests)/[A-Za-z0-9_./-]+\.py)` `([A-Za-z_][A-Za-z0-9_]*)(?:\(\))?`', 1)) AS cited, unnest(regexp_extract_all(line, '`((?:src|tests)/[A-Za-z0-9_./-]+\.py)` `([A-Za-z_][A-Za-z0-9_]*)(?:\(\))?`', 2)) AS symbol FROM l)
+SELECT path, CAST(line_no AS INTEGER) AS line_no, cited, symbol, problem FROM (SELECT *, CASE WHEN contains(cited, '/../') THEN 'CITED_PARENT' WHEN NOT regexp_matches(cited, '^src/m[0-7]\.py$') THEN 'CITED_MISSING' WHEN cited = 'src/m3.py' THEN 'CITED_UNPARSED' WHEN cited = 'src/m7.py' THEN 'CITED_NOT_UTF8' WHEN symbol NOT IN ('f0', 'f1', 'f2', 'f3') THEN 'CITED_UNDEFINED' END AS problem FROM c) WHERE problem IS NOT NULL
+UNION ALL SELECT path, CAST(line_no AS INTEGER), unnest(regexp_extract_all(line, '[A-Za-z0-9_./-]*[A-Za-z0-9_-]\.py:\d+(?:-\d+)?')), NULL, 'CITED_BY_LINE' FROM l""")
+def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in all documents against modules, of which some are missing, do not parse or lack the symbol."""
+    from .operators.citations import check_citations
+
+    k = F.col("doc_id")
+    cite = F.concat(F.lit("\nsee `src/m"), text(k % 9), F.lit(".py` `f"), text(k % 5), F.when(k % 2 == 0, "()").otherwise(""), F.lit("` and `src/../m.py` `x`"), F.when(k % 4 == 0, " and a/m.py:12-14").otherwise(""))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), text("doc_id"), F.lit(".md")).alias("path"), F.concat(F.coalesce("text", F.lit("")), cite).alias("text"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 8")
+    source = F.when(F.col("n_nationkey") == 3, F.lit(b"def (")).when(F.col("n_nationkey") == 7, F.lit(b"\xff")).otherwise(F.lit(b"def f0():\n    f4 = 1\nclass f1: pass\nf2 = 0\nf3: int = 1\n"))
+    return check_citations(docs, n.select(F.concat(F.lit("src/m"), text("n_nationkey"), F.lit(".py")).alias("path"), source.alias("content")))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS word FROM benchmark)
+SELECT doc_id, word AS label FROM documents JOIN w ON contains(text, word) WHERE regexp_matches(text, concat(word, '[a-z]'))""")
+def q_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the benchmark as a pattern of its own, followed by a letter: the documents that each matches, in one pass."""
+    from .operators.patterns import search_patterns
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("label")).distinct()
+    return search_patterns(table(spark, sf_dir, "documents"), "doc_id", words.select("label", F.concat("label", F.lit("[a-z]")).alias("pattern")))
