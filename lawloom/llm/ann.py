@@ -5,8 +5,9 @@ dimension and fitted to what the ones before leave over. Encoding keeps a beam o
 best partial sums. The first codebook's word (of large tables, the words of the first few)
 is also the vector's list: a query visits the lists nearest to it, until these hold
 enough vectors. There a vector's
-distance is its stored norm less looked-up products of its words with the query, and the
-best of each block are reranked by the exact cosine in double precision.
+distance is its stored norm less looked-up products of its words with the query. Of all
+that a query meets, in whatever lists, the best by these estimates are reranked by the
+exact cosine in double precision: a fixed number a query, at any size of the table.
 
 Equal vectors are indexed once with their smallest ids, as many as an answer can hold.
 """
@@ -19,12 +20,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+#: Estimated distances that differ by no more count as tied: single precision tells no more.
+TIED = 1e-5
+
+
 @dataclass
 class Codebooks:
     """Words of all codebooks in one matrix; ``starts`` has each codebook's first row (one more than codebooks)."""
@@ -51,7 +57,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def fit(sample: np.ndarray, lists: int, *, books: int = 16, words: int = 64, rounds: int = 1, seed: int = 3) -> Codebooks:
+def fit(sample: np.ndarray, lists: int, *, books: int = 24, words: int = 64, rounds: int = 1, seed: int = 3) -> Codebooks:
     """Codebooks of unit vectors: k-means of residuals, then least squares on beam-searched codes."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
@@ -155,6 +161,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), dim)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in _matrix(batch.column("embedding"), dim)], pa.binary())], names=["query_id", "asked"])
+
+
 _ROW = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("vector", pa.binary()), ("codes", pa.binary()), ("norm", pa.float32())])
 
 
@@ -183,37 +194,29 @@ def _route(batches: Iterator[pa.RecordBatch], book: Codebooks, dim: int, deep: i
         yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids[rows]), pa.nulls(n, _ROW.field("ids").type), pa.array([raw[i] for i in rows], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float32())], schema=_ROW)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, k: int, rerank: int, together: int = 256) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (list, block), vectors before queries; a block's vectors are bounded."""
-    now, ids, vectors, codes, norms, asked = None, [], [], [], [], []
+def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, rerank: int, together: int = 256) -> Iterator[pa.RecordBatch]:
+    """(query_id, row, far): the ``rerank`` rows of each block that look nearest by codes alone, and those tied with the last.
+
+    Rows come sorted by (list, block), vectors before queries; a block's vectors are bounded.
+    """
+    now, rows, codes, norms, asked = None, [], [], [], []
 
     def answer() -> pa.RecordBatch | None:
-        if not asked or not ids:
+        if not asked or not rows:
             asked.clear()
             return None
-        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(ids), -1)
-        code = np.frombuffer(b"".join(codes), np.int32).reshape(len(ids), -1)
-        norm = np.array(norms, np.float32)
-        size = np.linalg.norm(x, axis=1)
+        row = np.array(rows, np.int64)
+        code = np.frombuffer(b"".join(codes), np.int32).reshape(len(rows), -1)
         q = np.frombuffer(b"".join(v for _, v in asked), np.float64).reshape(len(asked), -1)
-        q_size = np.linalg.norm(q, axis=1)
-        table = (q / q_size[:, None]).astype(np.float32) @ book.words.T
-        far = np.broadcast_to(norm, (len(q), len(norm))).copy()
+        table = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32) @ book.words.T
+        far = np.broadcast_to(np.array(norms, np.float32), (len(q), len(rows))).copy()
         for m in range(code.shape[1]):
             far -= 2 * table[:, code[:, m]]
-        take = min(rerank, len(ids))
-        # all that are as near as the last of these, so that ties go by vec_id and not by place
-        edge = np.partition(far, take - 1, axis=1)[:, take - 1 : take] + 1e-5
-        out: list[tuple[int, int, float]] = []
-        for i, (query, _) in enumerate(asked):
-            near = np.flatnonzero(far[i] <= edge[i])
-            exact = x[near] @ q[i] / (q_size[i] * size[near])
-            found = [(-s, v) for s, row in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[row] if v != query]
-            out += [(query, v, -s) for s, v in sorted(found)[:k]]
+        take = min(rerank, len(rows))
+        near, which = np.nonzero(far <= np.partition(far, take - 1, axis=1)[:, take - 1 : take] + TIED)
+        ids = np.array([i for i, _ in asked], np.int64)
         asked.clear()
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[near]), pa.array(row[which]), pa.array(far[near, which])], names=["query_id", "row", "far"])
 
     for batch in batches:
         for list_, block, id_, own, vector, code, norm in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "id", "ids", "vector", "codes", "norm")), strict=True):
@@ -221,9 +224,9 @@ def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, k: int, rerank: in
                 if (out := answer()) is not None:
                     yield out
                 now = (list_, block)
-                ids.clear(), vectors.clear(), codes.clear(), norms.clear()
+                rows.clear(), codes.clear(), norms.clear()
             if own is not None:
-                ids.append(own), vectors.append(vector), codes.append(code), norms.append(norm)
+                rows.append(own[0]), codes.append(code), norms.append(norm)
                 continue
             asked.append((id_, vector))
             if len(asked) >= together and (out := answer()) is not None:
@@ -232,6 +235,26 @@ def _scan(batches: Iterator[pa.RecordBatch], book: Codebooks, k: int, rerank: in
         yield out
 
 
+def _exact(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Candidates (query_id, asked, ids, vector) with their cosine, one row for each id but the query's own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        q, x = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dim) for c in ("asked", "vector"))
+        score = (q * x).sum(1) / (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1))
+        of = np.asarray(pc.list_parent_indices(batch.column("ids")))
+        found, query = np.asarray(batch.column("ids").flatten()), np.asarray(batch.column("query_id"))[of]
+        other = found != query
+        yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(found[other]), pa.array(score[of][other])], names=["query_id", "vec_id", "score"])
+
+
+def candidates(scanned: DataFrame, rerank: int) -> DataFrame:
+    """Of all blocks' rows the ``rerank`` that look nearest to each query, and those tied with the last."""
+    mine = Window.partitionBy("query_id")
+    placed = scanned.withColumn("n", F.row_number().over(mine.orderBy("far"))).withColumn("edge", F.max(F.when(F.col("n") <= rerank, F.col("far"))).over(mine))
+    return placed.where(F.col("far") <= F.col("edge") + F.lit(TIED)).select("query_id", "row")
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, embedding) of vectors that can be compared: of the commonest dimension, finite and not zero.
 
@@ -245,7 +268,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return fine if n == distinct else fine.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_rows: int = 16_384, recall: float = 0.985, least: int = 2_000, rerank: int = 64, block: int = 4096, lists: int | None = None) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_rows: int = 16_384, recall: float = 0.985, least: int = 50, rerank: int = 192, block: int = 4096, lists: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``embeddings`` for each of ``queries`` (both vec_id, embedding), but itself.
 
     Codebooks are fitted to at most ``sample_rows`` vectors, those of the smallest hashes
@@ -253,15 +276,17 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_row
     any size: the first codebook has a word for each as far as the sample can fit them (a
     sixteenth of it), beyond that a list is a word of the first and one of the next
     codebooks. A query visits so many that, in the sample, they hold ``recall`` of its true
-    nearest. A block holds about ``block`` vectors of a list, however
-    long the list. Vectors null, zero, of another dimension than most, or with null or
+    nearest, and always ``least`` distinct vectors. Then ``rerank`` distinct vectors a query,
+    the best of all lists by their codes, are scored exactly. A block holds about ``block``
+    vectors of a list, however long the list. Vectors null, zero, of another dimension than most, or with null or
     non-finite components take no part. A repeated vec_id counts once, with the least of its
     vectors. Other columns are not read. Ties, also of scaled copies, go to the smaller vec_id.
-    No usable vector: no row. Fewer than ``k`` candidates: all of them, as the lists visited
-    are as many as hold ``least`` vectors.
+    No usable vector: no row. Fewer than ``k`` candidates: all of them (``least`` and
+    ``rerank`` are taken as over ``k``, whatever is given).
     Returns query_id, rank, vec_id, score (cosine, double); ties go to the smaller vec_id.
     """
     spark = embeddings.sparkSession
+    least, rerank = max(least, k + 1), max(rerank, k + 1)
     good = usable(embeddings)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
     if not sample:
@@ -287,6 +312,11 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, sample_row
     routed = asked.mapInArrow(partial(_route, book=book, dim=dim, deep=deep, sizes=sizes, probes=probes, least=least), "list int, id long, ids array<long>, vector binary, codes binary, norm float")
     own_block = F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
     rows = indexed.join(blocks, "list").withColumn("block", own_block).unionByName(routed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))).drop("blocks")
-    scanned = rows.repartition("list", "block").sortWithinPartitions("list", "block", F.col("id").isNotNull()).mapInArrow(partial(_scan, book=book, k=k, rerank=rerank), "query_id long, vec_id long, score double")
+    scanned = rows.repartition("list", "block").sortWithinPartitions("list", "block", F.col("id").isNotNull()).mapInArrow(partial(_scan, book=book, rerank=rerank), "query_id long, row long, far float")
+    # the places are few and narrow; vectors meet them once, by the row's least id
+    vectors = indexed.select(F.col("ids")[0].alias("row"), "ids", "vector")
+    packed = asked.mapInArrow(partial(_packed, dim=dim), "query_id long, asked binary")
+    met = candidates(scanned, rerank).join(vectors, "row").join(packed, "query_id").select("query_id", "asked", "ids", "vector")
+    exact = met.mapInArrow(partial(_exact, dim=dim), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scanned.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

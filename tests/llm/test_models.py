@@ -144,3 +144,24 @@ def test_beam_search_beats_greedy():
         assert np.allclose((sums**2).sum(1), norms, atol=1e-3)
         errors.append(float(((x - sums) ** 2).sum(1).mean()))
     assert errors[1] < errors[0] < 0.5
+
+
+def test_few_vectors_are_scored_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+    kept = ann.candidates
+
+    def counting(scanned, rerank):
+        out = kept(scanned, rerank).persist()
+        met.extend(r["count"] for r in out.groupBy("query_id").count().collect())
+        return out
+
+    monkeypatch.setattr(ann, "candidates", counting)
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), block=64).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(met) == 80 and max(met) <= 0.06 * len(rows)
+    want = brute(rows, range(0, 4000, 50))
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
