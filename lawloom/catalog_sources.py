@@ -465,17 +465,18 @@ def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- receipts
 
 
-@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ACQUISITION_CONFLICT' WHEN 1 THEN 'ACQUISITION_RETRIEVAL_PAIR' WHEN 2 THEN 'ACQUISITION_RETRIEVAL' WHEN 3 THEN 'ACQUISITION_AS_OF' WHEN 4 THEN 'ACQUISITION_URL' END AS problem FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ACQUISITION_CONFLICT' WHEN 1 THEN 'ACQUISITION_RETRIEVAL_PAIR' WHEN 2 THEN 'ACQUISITION_RETRIEVAL' WHEN 3 THEN 'ACQUISITION_AS_OF' WHEN 4 THEN 'ACQUISITION_URL' WHEN 6 THEN 'ACQUISITION_VALUES' END AS problem FROM documents""")
 def q_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of fetched sources held against what the source says, each fault planted by key."""
     from .plans.compile import RECEIPT, receipt_problem
 
     k = F.col("doc_id")
-    base = F.struct(*(F.lit(None if c in ("source_url", "retrieved_at", "requested_law_id", "as_of", "rights") else c).cast("string").alias(c) for c in RECEIPT))
+    known = {"schema": DEFAULT.acquisition_schema, "source_authority": SOURCE_AUTHORITY, "source_format": SOURCE_FORMAT, "official_law_id": "L 1", "law_number": "1", "sha256": "0" * 64}
+    base = F.struct(*(F.lit(known.get(c)).cast("string").alias(c) for c in RECEIPT)).withField("rights", F.when(k % 8 == 6, "stated"))
     url = "https://laws.e-gov.go.jp/api/2/law_data/L%201?law_full_text_format=xml&response_format=xml"
     given = base.withField("requested_law_id", F.lit("L 1")).withField("retrieved_at", F.when(k % 8 == 1, F.lit(None).cast("string")).when(k % 8 == 2, "2020-01-01").otherwise("2020-01-01T00:00:00Z"))
     given = given.withField("source_url", F.when(k % 8 == 4, "https://example.org/").when(k % 8 == 5, url + "&asof=2020-01-31").otherwise(url)).withField("as_of", F.when(k % 8 == 3, "2020-02-30").when(k % 8 == 5, "2020-01-31"))
-    given = given.withField("law_number", F.when(k % 8 == 0, "other").otherwise("law_number"))
+    given = given.withField("law_number", F.when(k % 8 == 0, "other").otherwise("1"))
     return table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), given.alias("given")).select("doc_id", receipt_problem().alias("problem"))
 
 
@@ -724,3 +725,31 @@ def q_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("label")).distinct()
     return search_patterns(table(spark, sf_dir, "documents"), "doc_id", words.select("label", F.concat("label", F.lit("[a-z]")).alias("pattern")))
+
+
+# ---------------------------------------------------------------- compiling what arrives
+
+
+@query("""SELECT concat(CASE WHEN s_suppkey % 2 = 0 THEN 'first' ELSE 'later' END, '/s', s_suppkey, '.json') AS file, CASE WHEN s_suppkey % 7 = 0 THEN 'ADAPTER_SOURCE: JSONDecodeError' END AS diagnostic,
+CAST(s_suppkey % 7 != 0 AS INTEGER) AS corpora, NULL::VARCHAR AS code FROM supplier""")
+def q_stream_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' trees that arrive in two lots, the later one with copies of all of the first, compiled by a stream that is started three times."""
+    from .plans.store import verify_corpora, write_files
+    from .sources.tree import adapt_json
+    from .streaming.admission import arriving_files
+    from .streaming.compiling import committed, compile_log, compile_stream
+    from .tables import shared_dir
+
+    inbox, out, state = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    json = F.expr("""concat('{"authority":"Law","jurisdiction":"Test","nodes":[{"kind":"law","locator":"root","text":"', s_name, IF(s_suppkey % 7 = 0, '"}', '"}],"source_law_key":"'), s_suppkey, '"}')""")
+    even = F.col("s_suppkey") % 2 == 0
+    made = table(spark, sf_dir, "supplier").select(even.alias("even"), F.concat(F.lit("s"), text("s_suppkey"), F.lit(".json")).alias("path"), F.encode(json, "UTF-8").alias("content"))
+    copies = made.where("even").withColumn("path", F.concat(F.lit("copy-"), "path"))
+    for lot, arriving in (("first", made.where("even")), ("later", made.where("NOT even").unionByName(copies)), ("none", None)):
+        if arriving is not None:
+            write_files(arriving.drop("even"), f"{inbox}/{lot}")
+        compile_stream(arriving_files(spark, f"{inbox}/*", glob="*.json", files_per_trigger=10_000), out, state, adapt_json, check=False).awaitTermination()
+    stem = F.regexp_extract("file", "(s[0-9]+[.]json)-[0-9a-f]{16}\\z", 1)
+    verified = verify_corpora(spark, committed(out)).groupBy(stem.alias("name")).agg(F.count("*").cast("int").alias("corpora"), F.max("code").alias("code"))
+    log = compile_log(spark, out).select(F.regexp_extract("file", "([^/]+/[^/]+)\\z", 1).alias("file"), "diagnostic", F.substring_index("file", "/", -1).alias("name"))
+    return log.join(verified, "name", "left").select("file", "diagnostic", F.coalesce("corpora", F.lit(0)).alias("corpora"), "code")

@@ -10,10 +10,10 @@ from ..profile import DEFAULT, Profile
 from ..sources.law_xml import admissions, parse_laws
 
 
-def arriving_files(spark: SparkSession, folder: str, *, files_per_trigger: int = 100) -> DataFrame:
-    """(file, content) of files that appear in ``folder``."""
+def arriving_files(spark: SparkSession, folder: str, *, glob: str = "*.xml", files_per_trigger: int = 100) -> DataFrame:
+    """(file, content) of files that appear in ``folder``, which may be a glob of folders."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    reader = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.xml")
+    reader = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob)
     return reader.load(folder).select(F.col("path").alias("file"), "content")
 
 
