@@ -5,9 +5,10 @@ import json
 import pytest
 
 from lawloom.errors import InputError
-from lawloom.plans.compile import RECEIPT, checked_receipts
+from lawloom.plans.compile import RECEIPT, checked_receipts, compile_sources
 from lawloom.plans.store import verify_corpora
 from lawloom.profile import DEFAULT, SOURCE_AUTHORITY, SOURCE_FORMAT
+from lawloom.sources.law_xml import Adapted
 from lawloom.sources.tree import adapt_json
 from lawloom.streaming.admission import arriving_files
 from lawloom.streaming.compiling import committed, compile_batch, compile_log, compile_stream
@@ -57,3 +58,9 @@ def test_receipts_of_other_values(spark, change):
     assert checked_receipts(good, good).count() == 1
     with pytest.raises(InputError, match="ACQUISITION_VALUES"):
         checked_receipts(bad, bad)
+
+
+def test_an_adapter_without_its_receipts_columns(spark):
+    none = spark.createDataFrame([], "file string, sha256 string")
+    with pytest.raises(InputError, match="ACQUISITION_ADAPTER_METADATA"):
+        compile_sources(Adapted("egov_xml", none, none, none, acquisition=none))
