@@ -94,11 +94,14 @@ def slug(value: Column) -> Column:
 
 
 def segment(kind: Column, name: Column, ordinal: Column, branch: Column, *, tag: Column | None = None, stable_key: Column | None = None, ascii_only: bool = False) -> Column:
-    """A provision's last two steps, ``kind/name``; null where nothing stable names it."""
+    """A provision's last two steps, ``kind/name``; null where nothing stable names it, a blank tag included."""
     folded = slug(normalized(name, fold=True, ascii_only=ascii_only))
     tail = F.when(F.size(branch) > 0, F.concat(F.lit("-"), F.array_join(F.transform(branch, lambda b: b.cast("string")), "-"))).otherwise("")
     number = F.concat(ordinal.cast("string"), tail)
-    tagged = F.concat(kind, F.lit("-"), number) if tag is None else F.when(tag.isNull(), F.concat(kind, F.lit("-"), number)).otherwise(F.concat(kind, F.lit("-"), slug(normalized(tag, fold=True, ascii_only=ascii_only)), F.lit("-"), number))
+    tagged = plain = F.concat(kind, F.lit("-"), number)
+    if tag is not None:
+        tag_slug = slug(normalized(tag, fold=True, ascii_only=ascii_only))
+        tagged = F.when(tag.isNull(), plain).when(F.length(tag_slug) > 0, F.concat(kind, F.lit("-"), tag_slug, F.lit("-"), number))
     hashed = F.concat(F.lit("u-"), F.substring(sha256(normalized(name, ascii_only=ascii_only)), 1, 16), F.lit("-"), F.substring(folded, 1, 32))
     key = stable_key if stable_key is not None else name
     keyed = F.when(F.length(key) > 0, F.concat(F.lit("u-"), F.substring(sha256(normalized(key, ascii_only=ascii_only)), 1, 16)))
@@ -106,6 +109,11 @@ def segment(kind: Column, name: Column, ordinal: Column, branch: Column, *, tag:
     return F.concat(kind, F.lit("/"), safe)
 
 
+def segment_problem(step: Column, ordinal: Column) -> Column:
+    """Why ``segment`` gave no step, or null: a numbered one lacks its source's tag, another a stable key."""
+    return F.when(step.isNull(), F.when(ordinal.isNotNull(), "LOCATOR_SOURCE_TAG_REQUIRED").otherwise("LOCATOR_STABLE_SOURCE_KEY_REQUIRED"))
+
+
 def parent_locator(locator: Column) -> Column:
     """The locator of the provision above, or null for a root."""
     return F.when(locator != "/law/root", F.regexp_replace(locator, "/[^/]+/[^/]+\\z", ""))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lawloom.functions.canonical import canonical_json, json_string, uuid5
-from lawloom.functions.identity import law_id, normalized, parent_locator, segment, valid_locator
+from lawloom.functions.identity import law_id, normalized, parent_locator, segment, segment_problem, valid_locator
+from lawloom.plans.compile import utc_timestamp
 from lawloom.profile import ID_NAMESPACE
 
 
@@ -54,3 +55,18 @@ def test_locators(spark):
     assert (row.a, row.b) == ("article/article-3-2-1", "appendix/appendix-appdxtable-1")
     assert (row.c, row.d) == (f"item/u-{h('Foo Bar')}-foo-bar", f"item/u-{h('k')}")
     assert (row.p, row.r, row.ok, row.bad) == ("/law/root", None, True, False)
+
+
+def test_blank_tags_and_unnamed_steps(spark):
+    rows = spark.createDataFrame([("", 1), ("　 ", 1), ("第", 1), ("Ａｐｐｄｘ Ｔａｂｌｅ", 1), (None, 1), ("x", None)], "tag string, ordinal int")
+    step = segment(F.lit("appendix"), F.lit("第"), F.col("ordinal"), F.array().cast("array<int>"), tag=F.col("tag"), stable_key=F.lit(""))
+    got = [tuple(r) for r in rows.select(step.alias("s"), segment_problem(step, F.col("ordinal")).alias("p")).collect()]
+    blank = (None, "LOCATOR_SOURCE_TAG_REQUIRED")
+    assert got == [blank, blank, blank, ("appendix/appendix-appdx-table-1", None), ("appendix/appendix-1", None), (None, "LOCATOR_STABLE_SOURCE_KEY_REQUIRED")]
+
+
+def test_utc_times():
+    for good in ("2026-01-01T00:00:00Z", "2024-02-29T23:59:59.000001Z"):
+        assert utc_timestamp(good)
+    for bad in (None, 5, "", "2026-01-01T00:00:00", "2026-01-01 00:00:00Z", "2026-02-30T00:00:00Z", "2026-01-01T00:00:00.000000Z", "2026-01-01T00:00:00.5Z", "2026-01-01T24:00:00Z", "0000-01-01T00:00:00Z", "2026-01-01T00:00:00Z\n", "２026-01-01T00:00:00Z"):
+        assert not utc_timestamp(bad)
