@@ -137,6 +137,34 @@ def q_law_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("file", "locator", "kind", "depth", "ordinal", "heading", "label", "text", "temporal.promulgated", F.size("attributes").alias("n_attributes"), "source.source_key")
 
 
+@query(f"""WITH {_LAWS} SELECT concat('c', nodes.c) AS file, locator, kind, CAST(depth AS INTEGER) AS depth, nodes.text AS text, NULL AS diagnostic, concat('c', nodes.c) AS source_key FROM nodes JOIN l ON l.c = nodes.c WHERE nodes.c % 9 != 0
+UNION ALL SELECT concat('c', c), NULL, NULL, NULL, NULL, CASE WHEN c % 2 = 0 THEN 'EGOV_XML_INPUT_EMPTY' ELSE 'EGOV_XML_PARSE' END, NULL FROM l WHERE c % 9 = 0""")
+def q_format_law_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws written as files and read by their format, each one's id from its name; every ninth file is empty or cut."""
+    content = F.expr("CASE WHEN custkey % 9 != 0 THEN replace(CAST(content AS string), concat(' LawId=\"C', custkey, '\"'), '') WHEN custkey % 2 = 0 THEN '' ELSE '<Law' END")
+    return _by_format(customer_laws(spark, sf_dir).select(F.concat("file", F.lit(".xml")).alias("path"), F.encode(content, "UTF-8").alias("content")), "law_xml", "c", lawIdFromName=True)
+
+
+@query("""SELECT concat('s', s_suppkey) AS file, CASE WHEN s_suppkey % 7 != 0 THEN '/law/root' END AS locator, CASE WHEN s_suppkey % 7 != 0 THEN 'law' END AS kind, CASE WHEN s_suppkey % 7 != 0 THEN 0 END AS depth,
+CASE WHEN s_suppkey % 7 != 0 THEN s_name END AS text, CASE WHEN s_suppkey % 7 = 0 THEN 'ADAPTER_SOURCE: JSONDecodeError' END AS diagnostic, NULL::VARCHAR AS source_key FROM supplier""")
+def q_format_law_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' trees written as files and read by their format; every seventh file is no JSON."""
+    json = F.expr("""concat('{"authority":"Law","jurisdiction":"Test","nodes":[{"kind":"law","locator":"root","text":"', s_name, IF(s_suppkey % 7 = 0, '"}', '"}],"source_law_key":"'), s_suppkey, '"}')""")
+    return _by_format(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), text("s_suppkey"), F.lit(".json")).alias("path"), F.encode(json, "UTF-8").alias("content")), "law_json", "s")
+
+
+def _by_format(files: DataFrame, name: str, letter: str, **options: object) -> DataFrame:
+    from .plans.store import write_files
+    from .sources.data_source import read_provisions
+    from .tables import shared_dir
+
+    folder = shared_dir(files.sparkSession)
+    write_files(files, folder)
+    got = read_provisions(files.sparkSession, folder, name, **options)
+    nodes = got.nodes.select("file", "locator", "kind", "depth", "text", F.lit(None).cast("string").alias("diagnostic"), "source.source_key")
+    return nodes.unionByName(got.failures, allowMissingColumns=True).withColumn("file", F.regexp_extract("file", rf"({letter}[0-9]+)[.][a-z]+\z", 1))
+
+
 _FAULTS = {
     0: ("''", "EGOV_XML_INPUT_EMPTY"), 1: ("'<x/>'", "EGOV_XML_ROOT"), 2: ("'<Law><LawBody/></Law>'", "EGOV_XML_LAW_ID_REQUIRED"), 3: ("'<!DOCTYPE Law><Law/>'", "EGOV_XML_DTD_OR_ENTITY_FORBIDDEN"),
     4: ("""'<Law LawId="A"/>'""", "EGOV_XML_LAW_BODY_MISSING"), 5: ("""'<Law LawId="A"><LawBody><NewProvision/></LawBody></Law>'""", "EGOV_XML_UNSUPPORTED_STRUCTURE:NewProvision"), 6: ("""'<Law LawId="A"><LawBody/></Law>'""", "EGOV_XML_STRUCTURE_EMPTY"),

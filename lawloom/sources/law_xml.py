@@ -59,6 +59,7 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     """(file, content, size) of the files below a path; a file is named by its path.
 
     Files over ``limit`` bytes are listed with their size and not read: their content is null.
+    Spark's binary files leave out those of no byte at all; the formats of ``data_source`` list them with their code.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -188,9 +189,13 @@ def law_nodes(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def adapt_laws(files: DataFrame, law_ids: DataFrame | str | None = None, profile: Profile = DEFAULT) -> Adapted:
     """Admit and adapt ``files`` (file, content); refused ones are in ``failures``."""
+    return adapt_law_records(materialise(parse_laws(files, law_ids)), profile)
+
+
+def adapt_law_records(records: DataFrame, profile: Profile = DEFAULT) -> Adapted:
+    """Provisions of parsed files (RECORD), read several times: give a written table."""
     from ..functions.identity import node_id, parent_locator, with_law_id
 
-    records = materialise(parse_laws(files, law_ids))
     reports = admissions(records, profile)
     nodes = law_nodes(records, profile)
     above = parent_locator(F.col("locator"))
