@@ -781,3 +781,32 @@ def q_stream_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = verify_corpora(spark, committed(out)).groupBy(stem.alias("name")).agg(F.count("*").cast("int").alias("corpora"), F.max("code").alias("code"))
     log = compile_log(spark, out).select(F.regexp_extract("file", "([^/]+/[^/]+)\\z", 1).alias("file"), "diagnostic", F.substring_index("file", "/", -1).alias("name"))
     return log.join(verified, "name", "left").select("file", "diagnostic", F.coalesce("corpora", F.lit(0)).alias("corpora"), "code")
+
+
+# ---------------------------------------------------------------- members of packages
+
+_MEMBERS = "SELECT concat('p', o_custkey % 40) AS package, o_orderkey AS o, concat('data/', o_orderstatus, '/', o_orderkey % 3, '/', o_orderkey, '.txt') AS path, o_orderkey % 13 AS k FROM orders"
+
+
+@query(f"""WITH m AS ({_MEMBERS}), held AS (SELECT * FROM m WHERE k NOT IN (1, 6, 7)),
+found AS (SELECT package, path, 'MEMBER_MISSING' AS code FROM m WHERE k IN (1, 5, 6, 7) UNION ALL SELECT package, path, 'MEMBER_DUPLICATE' FROM m WHERE k = 2 UNION ALL SELECT package, path, 'MEMBER_SIZE' FROM m WHERE k = 3
+UNION ALL SELECT package, path, 'MEMBER_DIGEST' FROM m WHERE k = 4 UNION ALL SELECT package, path, 'MEMBER_NOT_REGULAR' FROM m WHERE k = 5
+UNION ALL SELECT package, concat('../', path), 'MEMBER_PATH_PARENT' FROM m WHERE k = 6 UNION ALL SELECT package, concat('/', path), 'MEMBER_PATH_ABSOLUTE' FROM m WHERE k = 7 UNION ALL SELECT package, concat('/', path), 'MEMBER_PATH_EMPTY_STEP' FROM m WHERE k = 7
+UNION ALL SELECT package, concat(path, '.new'), 'MEMBER_UNEXPECTED' FROM m WHERE k = 8 UNION ALL SELECT DISTINCT package, concat('spare/', o), 'MEMBER_FOLDER_UNEXPECTED' FROM m WHERE k = 9
+UNION ALL SELECT package, path, 'MEMBER_DENIED' FROM held WHERE path LIKE 'data/F/%' AND path NOT LIKE 'data/F/1/%' UNION ALL SELECT package, concat(path, '.new'), 'MEMBER_DENIED' FROM m WHERE k = 8 AND path LIKE 'data/F/%' AND path NOT LIKE 'data/F/1/%')
+SELECT * FROM found""")
+def q_member_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as members of packages, faults planted by key; a folder is denied, one below it allowed again."""
+    from .operators.members import audit_members
+
+    o = table(spark, sf_dir, "orders")
+    path = F.concat_ws("/", F.lit("data"), "o_orderstatus", text(F.col("o_orderkey") % 3), F.concat(text("o_orderkey"), F.lit(".txt")))
+    m = o.select(F.concat(F.lit("p"), text(F.col("o_custkey") % 40)).alias("package"), path.alias("path"), F.lit("file").alias("kind"), F.col("o_orderkey").alias("size"), F.sha2(text("o_orderkey"), 256).alias("sha256"), (F.col("o_orderkey") % 13).alias("k"))
+    made = m.where("k != 1").withColumn("path", F.expr("CASE k WHEN 6 THEN concat('../', path) WHEN 7 THEN concat('/', path) ELSE path END"))
+    made = made.withColumn("size", F.expr("IF(k = 3, size + 1, size)")).withColumn("sha256", F.expr("IF(k = 4, reverse(sha256), sha256)")).withColumn("kind", F.expr("IF(k = 5, 'link', kind)"))
+    folders = m.where("k = 9").select("package", F.concat(F.lit("spare/"), text("size"), F.lit("/")).alias("path"), F.lit("folder").alias("kind"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("sha256"), "k")
+    above = m.select("package", F.lit("data").alias("path"), F.lit("folder").alias("kind"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit(0).alias("k")).distinct()
+    made = made.unionByName(m.where("k = 2")).unionByName(m.where("k = 8").withColumn("path", F.concat("path", F.lit(".new")))).unionByName(folders).unionByName(above)
+    rules = table(spark, sf_dir, "orders").select(F.concat(F.lit("data/"), "o_orderstatus").alias("prefix"), (F.col("o_orderstatus") != "F").alias("allowed")).distinct()
+    again = rules.where("NOT allowed").select(F.concat("prefix", F.lit("/1")).alias("prefix"), F.lit(True).alias("allowed"))
+    return audit_members(made, m, rules.unionByName(again))
