@@ -70,3 +70,14 @@ def test_utc_times():
         assert utc_timestamp(good)
     for bad in (None, 5, "", "2026-01-01T00:00:00", "2026-01-01 00:00:00Z", "2026-02-30T00:00:00Z", "2026-01-01T00:00:00.000000Z", "2026-01-01T00:00:00.5Z", "2026-01-01T24:00:00Z", "0000-01-01T00:00:00Z", "2026-01-01T00:00:00Z\n", "２026-01-01T00:00:00Z"):
         assert not utc_timestamp(bad)
+
+
+def test_law_ids_move_no_rows_and_equal_the_expression(spark):
+    from lawloom.functions.identity import law_id, with_law_id
+
+    parts = ("jurisdiction", "authority", "law_number_key", "source_law_key")
+    texts = [None, "", " ", "A  b", "\tＪapan\n", "ΑΣ", "İX", "ﬁ", 'q"\\\x01', "\x85a"]
+    df = spark.createDataFrame([(j, "A", n, s) for j in texts for n in (None, "", "N 1") for s in texts], ", ".join(f"{c} string" for c in parts))
+    told = with_law_id(df, "law_id")
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert told.where(~F.col("law_id").eqNullSafe(law_id(*map(F.col, parts)))).count() == 0
