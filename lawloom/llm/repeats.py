@@ -10,9 +10,9 @@ need sorting; about one byte in sixteen is one. The digits, most significant fir
 3. for the rest, each window around the anchor, eight bytes a pass, until ``length``
    bytes. Windows alone in their group leave after each pass; groups that are left
    after the last are exactly the repeated windows. A group of more anchors than a
-   task should hold is cut by its next digit first, the whole window, as a digest: of
-   each window the least document is found by a grouped minimum, which tasks sum up
-   before the shuffle.
+   task should hold is cut by its next digit first, the whole window, as a digest.
+   Tasks settle what repeats among their own anchors before the shuffle, so a window
+   that every document has is sent about once a task.
 
 Digits 1 and 2 travel as digests, 48 and 56 bits beside the bits of the bucket, in packed
 blocks, and each task settles repeats within its own documents first, so a passage of
@@ -27,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, powers, ragged, slices
@@ -290,8 +290,9 @@ def radix_groups(group: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Covered ranges (doc, start, end) of anchors: the union of their windows that an earlier document has."""
+def _repeated(rows: list[tuple], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of anchors: (doc, place, left), the bytes around each from ``length - GRAM`` before it, and two tables, by how far
+    an anchor is into a window: whether it has that window, and whether an earlier document of the rows has the same."""
     group, doc, place, left, right = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
     reach = length - GRAM
     flat = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
@@ -299,9 +300,11 @@ def _sort_windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarra
     size = left + right
     around.reshape(-1)[ragged(np.arange(len(rows)) * (reach + length) + reach - left, size)] = flat
     _, group = np.unique(group, return_inverse=True)
-    low, high = np.full(len(rows), -1, np.int64), np.full(len(rows), -1, np.int64)
+    into = np.arange(reach + 1)
+    there = (left[:, None] >= into) & (right[:, None] >= length - into)
+    later = np.zeros(there.shape, bool)
     for d in range(reach + 1):
-        has = np.flatnonzero((left >= d) & (right >= length - d))
+        has = np.flatnonzero(there[:, d])
         if len(has) < 2:
             continue
         found = radix_groups(group[has], around[has, reach - d : reach - d + length])
@@ -311,11 +314,22 @@ def _sort_windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarra
         rows_, number = has[kept], found[kept]
         least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, number, doc[rows_])
-        later = rows_[doc[rows_] > least[number]]
-        low[later] = np.where(low[later] < 0, d, low[later])
-        high[later] = d
-    hit = np.flatnonzero(high >= 0)
-    return doc[hit], place[hit] - high[hit], place[hit] - low[hit] + length
+        later[rows_, d] = doc[rows_] > least[number]
+    return [doc, place, left], around, there, later
+
+
+def _union(doc: np.ndarray, place: np.ndarray, later: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covered ranges (doc, start, end) of anchors: the windows of one all hold its gram, so their union is one range."""
+    hit = np.flatnonzero(later.any(axis=1))
+    low = later[hit].argmax(axis=1)
+    high = later.shape[1] - 1 - later[hit, ::-1].argmax(axis=1)
+    return doc[hit], place[hit] - high, place[hit] - low + length
+
+
+def _sort_windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covered ranges (doc, start, end) of anchors: the union of their windows that an earlier document has."""
+    (doc, place, _), _, _, later = _repeated(rows, length)
+    return _union(doc, place, later, length)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000) -> Iterator[pa.RecordBatch]:
@@ -337,30 +351,52 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000)
         yield close()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of each anchor: its group, how far the anchor is into it, 128 bits of it, its document and place."""
+_WINDOW = pa.schema([("group", pa.int64()), ("within", pa.int32()), ("window", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, many: int = 8_000) -> Iterator[pa.RecordBatch]:
+    """Anchors some ``many`` at a time: ranges that an earlier document among them covers (no window), and of the other
+    windows the group, how far the anchor is into it, 128 bits of it, its document and place."""
     import hashlib
 
     reach = length - GRAM
-    schema = pa.schema([("group", pa.int64()), ("within", pa.int32()), ("window", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    rows: list[tuple] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        (doc, place, left), around, there, later = _repeated(rows, length)
+        docs, starts, ends = _union(doc, place, later, length)
+        if len(docs):
+            n = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], schema=_WINDOW)
+        at, into = np.nonzero(there & ~later)
+        for a in range(0, len(at), 20_000):
+            i, d = at[a : a + 20_000], into[a : a + 20_000]
+            start = place[i] - d
+            digests = [hashlib.blake2b(around[x, reach - y : reach - y + length].tobytes(), digest_size=16).digest() for x, y in zip(i.tolist(), d.tolist(), strict=True)]
+            columns = [pa.array([rows[x][0] for x in i.tolist()], pa.int64()), pa.array(d.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(doc[i]), pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
+
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
-            out: list[tuple] = []
-            for group, doc, place, left, around in zip(*(part.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "around")), strict=True):
-                for at in range(len(around) - length + 1):
-                    if 0 <= left - at <= reach:
-                        out.append((group, left - at, hashlib.blake2b(around[at : at + length], digest_size=16).digest(), doc, place - left + at))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "right", "around")), strict=True):
+            if len(rows) >= many:
+                yield from close()
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from close()
 
 
 def _settle_large(opened: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, end) of the windows of large groups that an earlier document has, by grouped minima."""
-    windows = materialise(opened.mapInArrow(partial(_windows, length=length), "group long, within int, window binary, doc_id long, start int"))
-    key = ["group", "within", "window"]
-    first = materialise(windows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
-    return windows.join(first, key).where("doc_id > least").select("doc_id", "start", (F.col("start") + length).alias("end")).distinct()
+    """(doc_id, start, end) of the windows of large groups that an earlier document has.
+
+    Tasks settle what repeats among their own anchors, so a window of every document is sent about once a
+    task, and its least document is found over these rows without a join.
+    """
+    windows = materialise(opened.mapInArrow(partial(_windows, length=length), "group long, within int, window binary, doc_id long, start int, end int"))
+    least = F.min("doc_id").over(Window.partitionBy("group", "within", "window"))
+    later = windows.where("window IS NOT NULL").withColumn("least", least).where("doc_id > least")
+    ranges = ["doc_id", "start", "end"]
+    return windows.where("window IS NULL").select(*ranges).unionByName(later.select(*ranges)).distinct()
 
 
 def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:

@@ -252,3 +252,18 @@ def test_units(spark):
     assert repeated_units(df.where("false")).collect() == []
     again = frame(spark, [docs[0]]).unionByName(frame(spark, [docs[0]]))
     assert repeated_units(again).collect() == []
+
+
+def test_windows_of_a_passage_in_every_document_are_sent_once_a_task():
+    import pyarrow as pa
+
+    from lawloom.llm.repeats import _OPEN, _windows
+
+    length, text = 50, bytes(range(65, 145))
+    rows = [(7, doc, 30, None, 30, 50, text) for doc in range(300)] + [(7, 300, 30, None, 30, 50, text[:-1] + b"!")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OPEN, strict=True)], schema=_OPEN)
+    got = pa.Table.from_batches(list(_windows(iter([batch]), length))).to_pylist()
+    sent = [r for r in got if r["window"] is not None]
+    assert [r["doc_id"] for r in sent] == [0] * 31 + [300]
+    assert sorted((r["within"], r["start"], r["end"]) for r in sent if r["doc_id"] == 0) == [(d, 30 - d, 80 - d) for d in range(31)]
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in got if r["window"] is None) == [(d, 0, 80) for d in range(1, 300)] + [(300, 0, 79)]
