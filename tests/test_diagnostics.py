@@ -110,3 +110,28 @@ def test_empty_corpus_and_layers(spark):
 def test_climb(spark):
     edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone"), ("w", "z")], "node string, parent string")
     assert {r.node: r.root for r in climb(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": None, "y": None, "z": None, "w": None}
+
+
+def test_climbing_ends_after_the_logarithm_of_the_depth_with_cycles_and_many_children(spark, monkeypatch):
+    from lawloom.operators import trees
+
+    rows = [("r", None), *((f"c{i}", "r") for i in range(300)), *((f"d{i}", "c0") for i in range(300)), *((f"e{i}", "d0") for i in range(300)), ("x0", "x1"), ("x1", "x0"), *((f"y{i}", "x0") for i in range(300)), ("z0", "lost"), ("z1", "z0")]
+    edges = spark.createDataFrame(rows, "node string, parent string")
+    written = []
+    monkeypatch.setattr(trees, "materialise", lambda df, real=trees.materialise: (written.append(df), real(df))[1])
+    got = {r.node: (r.root, r.depth) for r in climb(edges, many=50).collect()}
+    depth = {"r": 0, "c": 1, "d": 2, "e": 3}
+    assert all(got[n] == ("r", depth[n[0]]) for n, _ in rows if n[0] in depth)
+    assert all(got[n][0] is None for n, _ in rows if n[0] in "xyz") and len(got) == len(rows)
+    # the first step and three rounds, each with its keys of many rows; it went on for 11 rounds before
+    assert len(written) <= 8
+
+
+def test_keys_of_many_rows_are_sent_to_them(spark):
+    from lawloom.operators.trees import follow
+
+    rows = spark.createDataFrame([("f", i, None if i % 10 == 0 else "hot" if i % 2 else f"k{i}") for i in range(200)], "file string, id int, k string")
+    to = spark.createDataFrame([("f", "hot", 1), ("g", "hot", 2), *(("f", f"k{i}", i) for i in range(0, 200, 4))], "file string, k string, v int")
+    want = sorted(((r.file, r.k, r.id, r.v) for r in rows.join(to, ["file", "k"], "left").select("file", "k", "id", "v").collect()), key=repr)
+    for many in (10, 1000):
+        assert sorted(((r.file, r.k, r.id, r.v) for r in follow(rows, to, ["file", "k"], many).select("file", "k", "id", "v").collect()), key=repr) == want
