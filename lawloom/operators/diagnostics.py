@@ -130,24 +130,26 @@ def ancestry(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Nodes whose chain of parents ends in a cycle or short of a root.
 
     A node steps to the first version of its parent. Each round doubles the length of all
-    chains, so the rounds are as many as the logarithm of the depth, whatever its size.
+    chains, so the rounds are as many as the logarithm of the depth, whatever its size: what
+    is left when a round ends no chain is on or below a cycle.
     """
     from ..tables import materialise
+    from .trees import follow
 
     first = candidates.withColumn("rank", F.row_number().over(version_order(candidates))).where("rank = 1").select("file", F.col("node_id").alias("at"), F.col("parent_id").alias("next"))
     # end: null while it climbs; 'root', 'gap' (a missing parent)
-    known = first.select("file", "at").withColumnRenamed("at", "next").withColumn("there", F.lit(True))
-    step = first.join(known, ["file", "next"], "left").select("file", "at", F.when(F.col("there"), F.col("next")).alias("next"), F.when(F.col("next").isNull(), "root").when(F.col("there").isNull(), "gap").alias("end"))
+    first = materialise(first)
+    known = first.select("file", F.col("at").alias("next"), F.lit(True).alias("there"), F.col("next").isNull().alias("top"))
+    step = follow(first, known, ["file", "next"]).select("file", "at", F.when(F.col("there"), F.col("next")).alias("next"), F.when(F.col("next").isNull() | F.col("top"), "root").when(F.col("there").isNull(), "gap").alias("end"))
     step = materialise(step)
-    size = step.count()
     done, open_ = step.where("end IS NOT NULL"), step.where("end IS NULL")
-    for _ in range(max(1, size.bit_length()) + 1):
-        if open_.isEmpty():
-            break
+    ended = open_
+    while not ended.isEmpty():
         # only what still climbs is joined and written again
         far = done.unionByName(open_).select("file", F.col("at").alias("next"), F.col("next").alias("far"), F.col("end").alias("far_end"))
-        moved = materialise(open_.join(far, ["file", "next"], "left").select("file", "at", F.col("far").alias("next"), F.col("far_end").alias("end")))
-        done, open_ = done.unionByName(moved.where("end IS NOT NULL")), moved.where("end IS NULL")
+        moved = materialise(follow(open_, far, ["file", "next"]).select("file", "at", F.col("far").alias("next"), F.col("far_end").alias("end")))
+        ended, open_ = moved.where("end IS NOT NULL"), moved.where("end IS NULL")
+        done = done.unionByName(ended)
     step = done.unionByName(open_)
     ends = step.select("file", F.col("at").alias("parent_id"), F.coalesce("end", F.lit("cycle")).alias("end"))
     # a node's own row starts the walk: it may differ from the first version of its node
