@@ -135,3 +135,25 @@ def test_keys_of_many_rows_are_sent_to_them(spark):
     want = sorted(((r.file, r.k, r.id, r.v) for r in rows.join(to, ["file", "k"], "left").select("file", "k", "id", "v").collect()), key=repr)
     for many in (10, 1000):
         assert sorted(((r.file, r.k, r.id, r.v) for r in follow(rows, to, ["file", "k"], many).select("file", "k", "id", "v").collect()), key=repr) == want
+
+
+def test_cross_row_checks_move_keys_and_not_ids(spark):
+    """Provisions that stand once move as hashes and keys of 16 bytes; before, each was moved a dozen times with its ids."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") == 0, "/law/root").otherwise(F.concat(F.lit("/law/root/article/article-"), F.col("id").cast("string"))).alias("locator"))
+    root = F.col("pos") == 0
+    nodes = identify(provisions(rows, pos=F.col("pos"), locator=F.col("locator"), kind=F.when(root, "law").otherwise("article"), depth=F.when(root, 0).otherwise(1), text=F.lit("x")))
+    nodes = nodes.withColumn("parent_id", F.when(~root, node_id(F.col("law_id"), F.lit("/law/root"))))
+    twice = nodes.unionByName(nodes.where("pos = 7").withColumn("parent_id", F.lit("node_gone")).withColumn("pos", F.lit(n).cast("long")))
+
+    def written() -> dict[int, int]:
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    found = {(r.code, r.subject) for r in diagnose(twice).collect()}
+    moved = sum(size for stage, size in written().items() if stage not in before)
+    seventh = nodes.where("pos = 7").first().node_id
+    assert {c for c, s in found if s == seventh} == {"TEMPORAL_OVERLAP", "SEMANTIC_IDENTITY_DRIFT", "PARENT_MISSING", "TREE_UNREACHABLE"}
+    assert moved < 450 * n
