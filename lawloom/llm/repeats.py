@@ -10,9 +10,11 @@ need sorting; about one byte in sixteen is one. The digits, most significant fir
 3. for the rest, each window around the anchor, eight bytes a pass, until ``length``
    bytes. Windows alone in their group leave after each pass; groups that are left
    after the last are exactly the repeated windows. A group of more anchors than a
-   task should hold is cut by its next digit first, the whole window, as a digest.
-   Tasks settle what repeats among their own anchors before the shuffle, so a window
-   that every document has is sent about once a task.
+   task should hold is cut in two by how far an anchor is into a window: windows of one
+   half share some bytes before the anchor, those of the other some after it. An anchor
+   is two rows a cut, whatever its windows. What is still too large after the cuts is
+   told apart by the whole window, as a digest; tasks settle what repeats among their
+   own anchors first, so a window that every document has is sent about once a task.
 
 Digits 1 and 2 travel as digests, 48 and 56 bits beside the bits of the bucket, in packed
 blocks, and each task settles repeats within its own documents first, so a passage of
@@ -292,7 +294,8 @@ def radix_groups(group: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 def _repeated(rows: list[tuple], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of anchors: (doc, place, left), the bytes around each from ``length - GRAM`` before it, and two tables, by how far
-    an anchor is into a window: whether it has that window, and whether an earlier document of the rows has the same."""
+    an anchor is into a window: whether it has that window, and whether an earlier document of the rows has the same.
+    Rows may end with the least and the greatest distance into a window that count."""
     group, doc, place, left, right = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
     reach = length - GRAM
     flat = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
@@ -302,6 +305,9 @@ def _repeated(rows: list[tuple], length: int) -> tuple[list[np.ndarray], np.ndar
     _, group = np.unique(group, return_inverse=True)
     into = np.arange(reach + 1)
     there = (left[:, None] >= into) & (right[:, None] >= length - into)
+    if len(rows[0]) > 6:
+        low, high = (np.array([r[i] for r in rows])[:, None] for i in (6, 7))
+        there &= (into >= low) & (into <= high)
     later = np.zeros(there.shape, bool)
     for d in range(reach + 1):
         has = np.flatnonzero(there[:, d])
@@ -332,6 +338,31 @@ def _sort_windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarra
     return _union(doc, place, later, length)
 
 
+def _anchors_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    names = ("group", "doc_id", "start", "left", "right", "around") + (("low", "high") if "low" in batch.schema.names else ())
+    return zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
+_CUT = pa.schema([*(f for f in _OPEN if f.name != "end"), pa.field("low", pa.int16()), pa.field("high", pa.int16())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each anchor once for each half of its range of distances into a window that has windows of it, grouped by
+    the bytes that all windows of the half share."""
+    import hashlib
+
+    for batch in batches:
+        out: list[tuple] = []
+        for _, doc, start, left, right, around, low, high in _anchors_of(batch):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                if max(a, length - right) <= min(b, left):
+                    shared = hashlib.blake2b(around[left - a : left + length - b], digest_size=8, salt=bytes((a & 255, a >> 8, b & 255, b >> 8))).digest()
+                    out.append((int.from_bytes(shared, "little", signed=True), doc, start, left, right, around, a, b))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
+
+
 def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group; whole groups are sorted together, some ``many`` rows at a time."""
     rows: list[tuple] = []
@@ -341,7 +372,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, many: int = 40_000)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "right", "around")), strict=True):
+        for row in _anchors_of(batch):
             # a group holds ``many`` rows at most
             if len(rows) >= many and row[0] != rows[-1][0]:
                 yield close()
@@ -377,7 +408,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, many: int = 8_000)
             yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "start", "left", "right", "around")), strict=True):
+        for row in _anchors_of(batch):
             if len(rows) >= many:
                 yield from close()
                 rows = []
@@ -386,17 +417,34 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, many: int = 8_000)
         yield from close()
 
 
-def _settle_large(opened: DataFrame, length: int) -> DataFrame:
+#: Cuts of large groups: after three, windows of a group share all but three bytes of 50 at most.
+_CUTS = 3
+
+
+def _settle_large(opened: DataFrame, length: int, many: int) -> DataFrame:
     """(doc_id, start, end) of the windows of large groups that an earlier document has.
 
-    Tasks settle what repeats among their own anchors, so a window of every document is sent about once a
-    task, and its least document is found over these rows without a join.
+    Groups are cut by the bytes that halves of their windows share, until they hold ``many`` anchors at most. Of what
+    is left after the cuts, tasks settle what repeats among their own anchors, so a window of every document is
+    sent about once a task, and its least document is found over these rows without a join.
     """
-    windows = materialise(opened.mapInArrow(partial(_windows, length=length), "group long, within int, window binary, doc_id long, start int, end int"))
+    ranges = ["doc_id", "start", "end"]
+    found = None
+    rest = opened.drop("end").withColumn("low", F.lit(0).cast("short")).withColumn("high", F.lit(length - GRAM).cast("short"))
+    for _ in range(_CUTS):
+        cut = materialise(rest.mapInArrow(partial(_cut, length=length), "group long, doc_id long, start int, left short, right short, around binary, low short, high short"))
+        # few: each stands for over ``many`` rows
+        large = materialise(cut.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > many).select("group"))
+        small = cut.join(F.broadcast(large), "group", "left_anti").repartition(F.xxhash64("group")).sortWithinPartitions("group")
+        settled = small.mapInArrow(partial(_settle, length=length, many=many), "doc_id long, start int, end int")
+        found = settled if found is None else found.unionByName(settled)
+        if large.isEmpty():
+            return found
+        rest = cut.join(F.broadcast(large), "group", "left_semi")
+    windows = materialise(rest.mapInArrow(partial(_windows, length=length), "group long, within int, window binary, doc_id long, start int, end int"))
     least = F.min("doc_id").over(Window.partitionBy("group", "within", "window"))
     later = windows.where("window IS NOT NULL").withColumn("least", least).where("doc_id > least")
-    ranges = ["doc_id", "start", "end"]
-    return windows.where("window IS NULL").select(*ranges).unionByName(later.select(*ranges)).distinct()
+    return found.unionByName(windows.where("window IS NULL").select(*ranges)).unionByName(later.select(*ranges).distinct())
 
 
 def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -426,7 +474,7 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool =
     out. A doc_id stands for one document: of repeated rows the greatest text counts,
     once. Texts shorter than ``length`` keep all; longer ones are read whole. Other columns
     are not read. An empty table gives no row. A task sorts ``group_anchors`` anchors of one
-    gram at most; larger groups are cut by their windows first.
+    gram at most; larger groups are cut first.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also
     kept (bytes) and removed ([start, end) byte ranges).
     """
@@ -455,7 +503,7 @@ def remove_repeats(documents: DataFrame, *, length: int = 50, keep_text: bool =
     open_ = opened.where("group IS NOT NULL")
     large = materialise(open_.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > group_anchors).select("group"))
     sorted_ = open_.join(large, "group", "left_anti").repartition("group").sortWithinPartitions("group").mapInArrow(partial(_settle, length=length, many=group_anchors), "doc_id long, start int, end int")
-    spans = ranges.unionByName(sorted_).unionByName(_settle_large(open_.join(large, "group", "left_semi"), length)).groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("spans"))
+    spans = ranges.unionByName(sorted_).unionByName(_settle_large(open_.join(large, "group", "left_semi"), length, group_anchors)).groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("spans"))
     known = copied.join(spans, "doc_id", "full")
     done = texts.join(known.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "blob", F.coalesce("copied", F.lit(False)).alias("copied"), "spans")
     out = done.mapInArrow(partial(_finish, keep_text=keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<array<long>>")

@@ -267,3 +267,26 @@ def test_windows_of_a_passage_in_every_document_are_sent_once_a_task():
     assert [r["doc_id"] for r in sent] == [0] * 31 + [300]
     assert sorted((r["within"], r["start"], r["end"]) for r in sent if r["doc_id"] == 0) == [(d, 30 - d, 80 - d) for d in range(31)]
     assert sorted((r["doc_id"], r["start"], r["end"]) for r in got if r["window"] is None) == [(d, 0, 80) for d in range(1, 300)] + [(300, 0, 79)]
+
+
+def test_anchors_of_a_large_group_are_two_rows_a_cut_whatever_their_windows():
+    import pyarrow as pa
+
+    from lawloom.llm.repeats import _CUT, _cut, _settle
+
+    length, rng = 50, random.Random(3)
+    gram = bytes(range(97, 117))
+    around = [bytes(rng.choices(range(65, 91), k=30)) + gram + bytes(rng.choices(range(65, 91), k=30)) for _ in range(200)]
+    around += [around[0][:9] + around[1][9:30] + gram + around[2][50:59] + around[3][59:], b"-" * 30 + gram + around[4][50:], around[5][:50] + b"+" * 30, around[6][:19] + around[1][19:30] + gram + b"?" * 30]
+    around += [b"." * 11 + around[7][11:61] + b"." * 19, b"." * 12 + around[8][12:61] + b"." * 19]
+    rows = [(7, doc, 30, 30, 50, text, 0, 30) for doc, text in enumerate(around)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
+    found: set[tuple] = set()
+    parts = [batch]
+    for _ in range(3):
+        parts = list(_cut(iter(parts), length))
+        cut = pa.Table.from_batches(parts)
+        settled = list(_settle(iter(cut.sort_by("group").to_batches()), length))
+        found = {(r["doc_id"], r["start"], r["end"]) for r in pa.Table.from_batches(settled).to_pylist()}
+        assert found >= {(201, 30, 80), (202, 0, 50), (204, 11, 61)} and {d for d, _, _ in found} == {201, 202, 204}
+    assert next(_cut(iter([batch]), length)).num_rows == 2 * len(rows)
