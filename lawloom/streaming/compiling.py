@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.compile import compile_sources
 from ..plans.store import corpus_files, write_files
 from ..sources.law_xml import Adapted
-from ..tables import materialise
+from ..tables import materialise, spread
 
 LOG = "file string, sha256 string, diagnostic string"
 
@@ -45,7 +45,7 @@ def compile_batch(files: DataFrame, out: str, adapt: Callable[[DataFrame], Adapt
     spark = files.sparkSession
     files = files.withColumn("sha256", F.sha2(F.coalesce("content", F.lit(b"")), 256))
     first = files.groupBy("sha256").agg(F.min("file").alias("file")).join(compile_log(spark, out).select("sha256"), "sha256", "left_anti")
-    new = materialise(files.join(first, ["sha256", "file"], "left_semi").dropDuplicates(["file"]))
+    new = materialise(spread(files.join(first, ["sha256", "file"], "left_semi").dropDuplicates(["file"]), "file"))
     n = new.count()
     if not n:
         return 0
