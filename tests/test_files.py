@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lawloom.files import files_below, lines_below
+from lawloom.plans.compile import compile_sources
+from lawloom.plans.store import replay, write_corpora
+from lawloom.sources import tree
 from lawloom.streaming.admission import arriving_files
 
 
@@ -37,3 +42,18 @@ def test_arriving_files_are_listed_in_few_tasks(spark, tmp_path):
     arriving_files(spark, str(tmp_path))
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "7"
     spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+
+
+def test_corpora_of_few_bytes_are_made_anew_in_several_tasks(spark, tmp_path, monkeypatch):
+    source = lambda i: '{"authority":"A","jurisdiction":"J","source_law_key":"%d","nodes":[{"kind":"law","locator":"root","text":"t"}]}' % i
+    given = spark.createDataFrame([(f"f{i}", source(i).encode()) for i in range(40)], "file string, content binary").coalesce(1)
+    write_corpora(compile_sources(tree.adapt_json(given), check=False), str(tmp_path / "out"))
+    seen, adapt = [], tree.adapt_json
+
+    def counted(files, *args, **options):
+        seen.append(files.select(F.spark_partition_id()).distinct().count())
+        return adapt(files, *args, **options)
+
+    monkeypatch.setattr(tree, "adapt_json", counted)
+    assert {(r.code, r["count"]) for r in replay(spark, str(tmp_path / "out"), given).groupBy("code").count().collect()} == {(None, 40)}
+    assert seen[0] > 1
