@@ -608,9 +608,9 @@ def q_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.compile import compile_sources
     from .plans.store import write_corpora, write_files
     from .sources.law_xml import adapt_laws
-    from .tables import materialise, shared_dir
+    from .tables import materialise, shared_dir, spread
 
-    laws = materialise(nation_laws(spark, sf_dir))
+    laws = materialise(spread(nation_laws(spark, sf_dir), "file"))
     corpora, out = shared_dir(spark), shared_dir(spark)
     write_corpora(compile_sources(adapt_laws(laws), converted_at="2026-01-01T00:00:00Z"), corpora)
     files, _ = bundle_files(spark, corpora, laws)
