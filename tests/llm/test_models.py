@@ -69,6 +69,25 @@ def test_toxicity(spark):
     assert all(abs(again[i] - got[i].score) < 1e-12 for i in again)
 
 
+def test_toxicity_trains_on_all_labelled_rows(spark):
+    rows = corpus(900, seed=3)
+    learnable = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = spark.createDataFrame([(i, t, lang, y) for i, t, lang, y in rows], "doc_id long, text string, lang string, toxic int")
+    by_hash = [r.doc_id for r in df.orderBy("doc_id").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect() if r.doc_id in set(learnable)]
+    # a word that tells toxic rows, in none of the first hashes
+    late = set(by_hash[300:])
+    words = {i: "zyxxyz " * (y and i in late) for i, _, _, y in rows}
+    marked = spark.createDataFrame([(i, words[i] + t, lang, y) for i, t, lang, y in rows], "doc_id long, text string, lang string, toxic int")
+    model = fit(marked, marked.select("doc_id", "toxic"), block_rows=100)
+    bucket = parts(Words(pa.array(["zyxxyz"])))[0, 0]
+    assert model.embeddings[0, bucket, 0] > 0.3 and np.isfinite(model.embeddings).all()
+    got = {r.doc_id: r.score for r in score_documents(marked, model).collect()}
+    held = [(i, y) for i, _, _, y in rows if i not in set(learnable)]
+    assert sum((got[i] >= 0.3) == bool(y) for i, y in held) / len(held) > 0.93
+    again = fit(marked.repartition(3), marked.select("doc_id", "toxic"), block_rows=100)
+    assert np.array_equal(again.embeddings, model.embeddings) and again.thresholds == model.thresholds
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
