@@ -329,8 +329,12 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int, hold: int) -> Iterato
 
 
 def shard_tries(texts: DataFrame, low: int, high: int, pairs: Pairs | None = None, shard_bytes: int = 8 << 20) -> DataFrame:
-    """Tries of shards of ``texts`` (lang, text), in the shared folder: lang, words of the shard (n), nodes, some keys, the trie."""
-    return materialise(texts.mapInArrow(partial(_tries, low=low, high=high, pairs=pairs, shard_bytes=shard_bytes), f"lang string, n long, nodes long, keys array<binary>, {TRIE}"))
+    """Tries of shards of ``texts`` (lang, text), in the shared folder: lang, words of the shard (n), nodes, some keys, the trie.
+
+    A task's tries are as many as its input has shards, and each may have twice a shard's bytes: row groups hold two or so.
+    """
+    tries = texts.mapInArrow(partial(_tries, low=low, high=high, pairs=pairs, shard_bytes=shard_bytes), f"lang string, n long, nodes long, keys array<binary>, {TRIE}")
+    return materialise(tries, group_bytes=2 * shard_bytes)
 
 
 def merge_ranges(tries: DataFrame, least: int, *, range_nodes: int = 1_000_000, sample_keys: int = 50_000) -> DataFrame:

@@ -147,3 +147,17 @@ def test_words_are_bytes_between_gaps():
     assert [dictionary[int(i)].as_py().decode() for i in ids] == ["b", "a", "Éé", "c", "b"]
     assert room.tolist() == [3, 2, 1, 1, 1] and starts.tolist() == [0, 2, 4, 9, 11]
     assert dictionary == pa.array([b"a", b"b", b"c", "Éé".encode()])
+
+
+def test_a_task_holds_few_tries_at_once(spark):
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"w{rng.randrange(3000)}" for _ in range(3000))) for _ in range(40)]
+    tries = shard_tries(spark.createDataFrame(rows, "lang string, text string").coalesce(1), 1, 2, shard_bytes=1 << 13)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(tries.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.parquet")]
+    assert sum(f.num_rows for f in files) >= 40
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 4
